@@ -36,7 +36,7 @@ def _dated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _log_rows(df: DataFrame) -> DataFrame:
+def log_rows(df: DataFrame) -> DataFrame:
     return df.select(
         "log_date", "log_hour", "user_id", "event_id", "event_type",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
@@ -44,7 +44,7 @@ def _log_rows(df: DataFrame) -> DataFrame:
 
 
 def dau_first(spark, sf_dir):
-    return _log_rows(
+    return log_rows(
         dedup.first_record(_dated_log(spark, sf_dir), ["log_date", "user_id"], ["ts"])
     )
 
@@ -80,7 +80,7 @@ def dedup_incremental(spark, sf_dir):
         log.where(F.col("ts") < F.lit(SPLIT)).select("log_date", "user_id").distinct()
     )
     batch = log.where(F.col("ts") >= F.lit(SPLIT))
-    return _log_rows(dedup.unseen_first(batch, seen, ["log_date", "user_id"], ["ts"]))
+    return log_rows(dedup.unseen_first(batch, seen, ["log_date", "user_id"], ["ts"]))
 
 
 def records_per_batch(spark, sf_dir):

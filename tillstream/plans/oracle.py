@@ -7,9 +7,7 @@ definitions the operators are checked against.
 
 from __future__ import annotations
 
-from tillstream.plans import batch
-
-DAY_MS = 86_400_000
+from tillstream.plans import batch, stream
 
 
 def _day(column: str) -> str:
@@ -368,3 +366,18 @@ ORACLES = {
                {_MONEY.format('o_totalprice')} as amount
         from orders group by 1""",
 }
+
+# A streamed alert is final once the watermark has passed every window of its
+# grain; alerts the stream may still revise are not emitted yet.
+_CLOSED = f"""
+  (window_end // {batch.DAY_RULE.grain_ms} + 1) * {batch.DAY_RULE.grain_ms}
+    - {batch.DAY_RULE.slide_ms}
+  <= (select epoch_us(max(ts)) // 1000 - {stream.LATENESS_HOURS} * 3600000 from events)
+"""
+
+ORACLES.update({
+    "stream_first_seen": ORACLES["dau_first"],
+    "stream_sale_detail": ORACLES["sale_detail_ttl"],
+    "stream_latest_user": ORACLES["latest_user"],
+    "stream_coupon_alert": _alerts(batch.DAY_RULE, _CLOSED),
+})
