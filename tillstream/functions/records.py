@@ -12,47 +12,44 @@ from pyspark.sql import types as T
 
 BAD = "_bad"
 RAW = "_raw"
-_CORRUPT = "_corrupt"
 
 
 def parse_lines(
     lines: DataFrame,
     schema: T.StructType,
-    required: Iterable[str] = (),
+    required: Iterable[str],
     value: str = "value",
 ) -> DataFrame:
     """Parse a JSON text column into ``schema``.
 
     Each field is read as text and then ``try_cast``: quoted and bare numbers
     both parse, and an unreadable one becomes NULL instead of an error.  Rows
-    that are not JSON, lose a value in the cast or miss a required field have
-    ``_bad`` set; ``_raw`` keeps the line.  Other input columns are kept.
+    that are not JSON objects, lose a value in the cast or miss a required
+    field have ``_bad`` set; ``_raw`` keeps the line.  Other input columns are
+    kept.
+
+    ``json_tuple`` is a generator, which the optimizer does not copy into the
+    filters and columns above it: every line is parsed exactly once.
     """
-    text_schema = T.StructType(
-        [T.StructField(f.name, T.StringType()) for f in schema]
-        + [T.StructField(_CORRUPT, T.StringType())]
-    )
-    passed = [F.col(c) for c in lines.columns if c != value]
+    names = [f.name for f in schema]
+    passed = [c for c in lines.columns if c != value]
     rows = lines.select(
-        *passed,
-        F.col(value).alias(RAW),
-        F.from_json(
-            F.col(value), text_schema, {"columnNameOfCorruptRecord": _CORRUPT}
-        ).alias("_r"),
+        *passed, F.col(value).alias(RAW), F.json_tuple(value, *names).alias(*names)
     )
-    typed: list[Column] = []
-    faults: list[Column] = [F.col("_r").isNull(), F.col(f"_r.{_CORRUPT}").isNotNull()]
+    casts: dict[str, Column] = {}
+    # A line that is not a JSON object has no fields at all.
+    faults: list[Column] = [F.col(name).isNull() for name in required]
     for field in schema:
-        text = F.col("_r").getField(field.name)
-        if isinstance(field.dataType, T.StringType):
-            typed.append(text.alias(field.name))
-        else:
-            cast = text.try_cast(field.dataType)
-            typed.append(cast.alias(field.name))
-            faults.append(text.isNotNull() & cast.isNull())
-    faults += [F.col("_r").getField(name).isNull() for name in required]
-    bad = F.coalesce(reduce(or_, faults), F.lit(True))
-    return rows.select(*passed, *typed, bad.alias(BAD), F.col(RAW))
+        if not isinstance(field.dataType, T.StringType):
+            cast = F.col(field.name).try_cast(field.dataType)
+            casts[field.name] = cast
+            faults.append(F.col(field.name).isNotNull() & cast.isNull())
+    return rows.withColumn(BAD, reduce(or_, faults)).select(
+        *passed,
+        *[casts[n].alias(n) if n in casts else F.col(n) for n in names],
+        BAD,
+        RAW,
+    )
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:

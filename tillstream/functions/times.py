@@ -54,8 +54,14 @@ def in_days(ts_col: str, first_day: str, days: int = 1) -> Column:
     The column is not wrapped in a function, so the range reaches the scan as
     a pushed filter and prunes row groups.
     """
-    end = (date.fromisoformat(first_day) + timedelta(days=days)).isoformat()
-    return (F.col(ts_col) >= F.lit(first_day)) & (F.col(ts_col) < F.lit(end))
+    last = (date.fromisoformat(first_day) + timedelta(days=days - 1)).isoformat()
+    return (F.col(ts_col) >= F.lit(first_day)) & until_day(ts_col, last)
+
+
+def until_day(ts_col: str, last_day: str) -> Column:
+    """Everything up to the end of a day, pushed down like ``in_days``."""
+    end = (date.fromisoformat(last_day) + timedelta(days=1)).isoformat()
+    return F.col(ts_col) < F.lit(end)
 
 
 def millis(ts_col: str) -> Column:

@@ -367,7 +367,9 @@ def kpi_cards(spark, sf_dir):
     active = activity.active_by_day(log.where(today), "user_id", "ts").agg(
         F.coalesce(F.sum("dau"), F.lit(0)).alias("value")
     )
-    fresh = activity.new_by_day(log, "user_id", "ts").where(
+    # Later records cannot change who was new on the day.
+    so_far = log.where(times.until_day("ts", DAY))
+    fresh = activity.new_by_day(so_far, "user_id", "ts").where(
         F.col("log_date") == DAY
     ).agg(F.coalesce(F.sum("new_devices"), F.lit(0)).alias("value"))
     amount = (
