@@ -92,6 +92,16 @@ def member_spans(events: DataFrame, rule: AlertRule) -> DataFrame:
     )
 
 
+def event_tallies(events: DataFrame, rule: AlertRule) -> DataFrame:
+    """Event ids with repeats: ``mid, member, start, end, n`` per slide step."""
+    return (
+        _steps(events, rule)
+        .groupBy("mid", F.col("evid").alias("member"), F.col("_at").alias("start"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("end", F.col("start") + rule.window_ms)
+    )
+
+
 def _boundary(at: str, sign: int, **counts: Column) -> Column:
     fields = [F.col(at).alias("at")]
     fields += [(value * F.lit(sign)).cast("bigint").alias(n) for n, value in counts.items()]
@@ -99,6 +109,7 @@ def _boundary(at: str, sign: int, **counts: Column) -> Column:
 
 
 def _edges(df: DataFrame, **counts: Column) -> DataFrame:
+    """Counts added where an interval starts, taken off where it ends."""
     return df.select("mid", F.inline(F.array(
         _boundary("start", 1, **counts), _boundary("end", -1, **counts)
     )))
@@ -111,22 +122,14 @@ def window_counts(events: DataFrame, rule: AlertRule) -> DataFrame:
     device that ends in ``[at, next_at)`` has these counts.
     """
     zero, one = F.lit(0), F.lit(1)
-    spans = member_spans(events, rule)
-    tallies = (
-        _steps(events, rule)
-        .groupBy("mid", F.col("_at").alias("start"))
-        .agg(
-            F.count("*").alias("_events"),
-            F.count(F.when(F.col("evid") == rule.click, 1)).alias("_clicks"),
-        )
-        .withColumn("end", F.col("start") + rule.window_ms)
-    )
     is_user = F.when(F.col("kind") == "user", one).otherwise(zero)
+    clicks = F.when(F.col("member") == rule.click, F.col("n")).otherwise(zero)
     edges = _edges(
-        spans, users=is_user, items=one - is_user, events=zero, clicks=zero
+        member_spans(events, rule),
+        users=is_user, items=one - is_user, events=zero, clicks=zero,
     ).unionByName(_edges(
-        tallies, users=zero, items=zero,
-        events=F.col("_events"), clicks=F.col("_clicks"),
+        event_tallies(events, rule),
+        users=zero, items=zero, events=F.col("n"), clicks=clicks,
     ))
     names = ("users", "items", "events", "clicks")
     steps = edges.groupBy("mid", "at").agg(*[F.sum(n).alias(n) for n in names])
@@ -175,58 +178,54 @@ def alert_day(end_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(end_ms), "yyyy-MM-dd")
 
 
-def alert_members(alerts: DataFrame, events: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame:
-    """What each alert lists: ``doc_id, alert_date, kind, member, n``.
+def _listed(alerts: DataFrame, events: DataFrame, rule: AlertRule) -> DataFrame:
+    """Alert columns with ``kind, member, n`` for everything an alert lists.
 
-    Kinds are ``user`` and ``item`` (sets, ``n`` = 1) and ``event`` (all event
-    ids of the window with their number of repeats).  Alerts and intervals
-    meet on device and time slot of one window length, so only pairs at most
-    two windows apart are compared.
+    Alerts and intervals meet on device and time slot of one window length, so
+    only pairs at most two windows apart are compared.
     """
     length = rule.window_ms
-    wanted = alerts.select(
-        "doc_id", "alert_date", "mid", "window_end",
-        _div(F.col("window_end"), length).alias("slot"),
-    )
-    tallies = (
-        _steps(events, rule)
-        .groupBy("mid", F.col("evid").alias("member"), F.col("_at").alias("start"))
-        .agg(F.count("*").alias("n"))
-        .select(
-            "mid", F.lit("event").alias("kind"), "member", "start",
-            (F.col("start") + length).alias("end"), "n",
-        )
-    )
+    tallies = event_tallies(events, rule).withColumn("kind", F.lit("event"))
     pieces = (
         member_spans(events, rule).withColumn("n", F.lit(1).cast("bigint"))
         .unionByName(tallies)
     )
     slots = F.sequence(_div(F.col("start"), length), _div(F.col("end") - 1, length))
-    spread = pieces.select("*", F.explode(slots).alias("slot"))
+    spread = pieces.select("*", F.explode(slots).alias("_slot"))
+    wanted = alerts.withColumn("_slot", _div(F.col("window_end"), length))
     covered = (F.col("window_end") >= F.col("start")) & (F.col("window_end") < F.col("end"))
     return (
-        wanted.join(spread, ["mid", "slot"]).where(covered)
-        .groupBy("doc_id", "alert_date", "kind", "member")
+        wanted.join(spread, ["mid", "_slot"]).where(covered)
+        .groupBy(*alerts.columns, "kind", "member")
         .agg(F.sum("n").alias("n"))
     )
 
 
+def alert_members(
+    alerts: DataFrame, events: DataFrame, rule: AlertRule = AlertRule()
+) -> DataFrame:
+    """What each alert lists: ``doc_id, alert_date, kind, member, n``.
+
+    Kinds are ``user`` and ``item`` (sets, ``n`` = 1) and ``event`` (all event
+    ids of the window with their number of repeats).
+    """
+    keys = alerts.select("doc_id", "alert_date", "mid", "window_end")
+    return _listed(keys, events, rule).select("doc_id", "alert_date", "kind", "member", "n")
+
+
 def alert_documents(
-    alerts: DataFrame, members: DataFrame, part_size: int = 10_000
+    alerts: DataFrame, events: DataFrame, rule: AlertRule = AlertRule(),
+    part_size: int = 10_000,
 ) -> DataFrame:
     """Alerts with their lists as arrays, cut into parts of about ``part_size``.
 
-    Almost every alert is one part.  A huge one becomes several rows
-    (``part`` 0..``parts``-1) rather than one unbounded array; together they
-    hold every member.
+    Almost every alert is one part.  One with very many users or items becomes
+    several rows (``part`` 0..``parts``-1) rather than unbounded arrays;
+    together they hold every member.
     """
-    sized = members.groupBy("doc_id").agg(F.count("*").alias("_m"))
-    # At least one member per alert (min_users), so the inner join keeps all.
-    heads = alerts.join(sized, "doc_id").select(
-        *alerts.columns,
-        F.ceil(F.col("_m") / F.lit(part_size)).cast("bigint").alias("parts"),
-    )
-    listed = heads.join(members.drop("alert_date"), "doc_id").withColumn(
+    parts = F.ceil((F.col("users") + F.col("items")) / F.lit(part_size)).cast("bigint")
+    heads = alerts.withColumn("parts", parts)
+    listed = _listed(heads, events, rule).withColumn(
         "part", F.pmod(F.xxhash64("kind", "member"), F.col("parts"))
     )
 
@@ -238,7 +237,7 @@ def alert_documents(
     repeats = F.when(
         F.col("kind") == "event", F.struct(F.col("member").alias("evid"), "n")
     )
-    return listed.groupBy(*alerts.columns, "parts", "part").agg(
+    return listed.groupBy(*heads.columns, "part").agg(
         pick("user").alias("uids"),
         pick("item").alias("itemIds"),
         F.sort_array(F.collect_list(repeats)).alias("event_counts"),

@@ -30,22 +30,23 @@ FINE_RULE = alerts.AlertRule(
 )
 
 
-def _dated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return times.with_log_time(
-        inputs.activity_log(spark, sf_dir), F.col("ts"), "log_date", "log_hour"
-    )
-
-
 def log_rows(df: DataFrame) -> DataFrame:
     return df.select(
-        "log_date", "log_hour", "user_id", "event_id", "event_type",
+        times.date_text(F.col("ts")).alias("log_date"),
+        times.hour_text(F.col("ts")).alias("log_hour"),
+        "user_id", "event_id", "event_type",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
     )
 
 
+def _daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed on the date itself; its text is made for the result rows only."""
+    return inputs.activity_log(spark, sf_dir).withColumn("day", F.to_date("ts"))
+
+
 def dau_first(spark, sf_dir):
     return log_rows(
-        dedup.first_record(_dated_log(spark, sf_dir), ["log_date", "user_id"], ["ts"])
+        dedup.first_record(_daily_log(spark, sf_dir), ["day", "user_id"], ["ts"])
     )
 
 
@@ -75,12 +76,10 @@ def new_devices(spark, sf_dir):
 
 def dedup_incremental(spark, sf_dir):
     """Rows up to the split are stored; what do the later ones add?"""
-    log = _dated_log(spark, sf_dir)
-    seen = (
-        log.where(F.col("ts") < F.lit(SPLIT)).select("log_date", "user_id").distinct()
-    )
+    log = _daily_log(spark, sf_dir)
+    seen = log.where(F.col("ts") < F.lit(SPLIT)).select("day", "user_id").distinct()
     batch = log.where(F.col("ts") >= F.lit(SPLIT))
-    return log_rows(dedup.unseen_first(batch, seen, ["log_date", "user_id"], ["ts"]))
+    return log_rows(dedup.unseen_first(batch, seen, ["day", "user_id"], ["ts"]))
 
 
 def records_per_batch(spark, sf_dir):
@@ -202,7 +201,7 @@ def alert_documents(spark, sf_dir):
     """Alert documents; arrays joined to text."""
     log = inputs.coupon_log(spark, sf_dir)
     heads = alerts.coupon_alerts(log, DAY_RULE)
-    docs = alerts.alert_documents(heads, alerts.alert_members(heads, log, DAY_RULE))
+    docs = alerts.alert_documents(heads, log, DAY_RULE)
     listed = F.transform(
         "event_counts", lambda e: F.concat_ws("*", e["evid"], e["n"].cast("string"))
     )
