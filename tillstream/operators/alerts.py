@@ -102,42 +102,57 @@ def event_tallies(events: DataFrame, rule: AlertRule) -> DataFrame:
     )
 
 
-def _boundary(at: str, sign: int, **counts: Column) -> Column:
-    fields = [F.col(at).alias("at")]
-    fields += [(value * F.lit(sign)).cast("bigint").alias(n) for n, value in counts.items()]
-    return F.struct(*fields)
+def alert_pieces(events: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame:
+    """Everything alerts are made of: ``mid, kind, member, start, end, n``.
 
+    Kinds are ``user`` and ``item`` (merged coverage, ``n`` = 1) and ``event``
+    (``n`` repeats in one step).  Counting and listing both start from here;
+    a caller that wants both may persist or store this frame.
+    """
+    pieces = (
+        member_spans(events, rule).withColumn("n", F.lit(1).cast("bigint"))
+        .unionByName(event_tallies(events, rule).withColumn("kind", F.lit("event")))
+    )
+    # The conditions any later join infers, stated here for every consumer:
+    # equal subplans let Spark reuse the shuffles instead of repeating them.
+    for name in ("mid", "start", "end"):
+        pieces = pieces.where(F.col(name).isNotNull())
+    return pieces
 
-def _edges(df: DataFrame, **counts: Column) -> DataFrame:
-    """Counts added where an interval starts, taken off where it ends."""
-    return df.select("mid", F.inline(F.array(
-        _boundary("start", 1, **counts), _boundary("end", -1, **counts)
-    )))
+
+def _boundary(at: str, sign: int, counts: dict[str, Column]) -> Column:
+    fields = [F.col(at).alias("at")]
+    fields += [(value * F.lit(sign)).alias(name) for name, value in counts.items()]
+    return F.struct(*fields)
 
 
-def window_counts(events: DataFrame, rule: AlertRule) -> DataFrame:
+def window_counts(pieces: DataFrame, rule: AlertRule) -> DataFrame:
     """Counts of every window as runs of equal windows.
 
     ``mid, at, next_at, users, items, events, clicks``: each window of the
     device that ends in ``[at, next_at)`` has these counts.
     """
-    zero, one = F.lit(0), F.lit(1)
-    is_user = F.when(F.col("kind") == "user", one).otherwise(zero)
-    clicks = F.when(F.col("member") == rule.click, F.col("n")).otherwise(zero)
-    edges = _edges(
-        member_spans(events, rule),
-        users=is_user, items=one - is_user, events=zero, clicks=zero,
-    ).unionByName(_edges(
-        event_tallies(events, rule),
-        users=zero, items=zero, events=F.col("n"), clicks=clicks,
-    ))
-    names = ("users", "items", "events", "clicks")
-    steps = edges.groupBy("mid", "at").agg(*[F.sum(n).alias(n) for n in names])
+
+    def of(kind: str, also: Column | None = None) -> Column:
+        test = F.col("kind") == kind
+        return F.when(test if also is None else test & also, F.col("n")).otherwise(0)
+
+    counts = {
+        "users": of("user"),
+        "items": of("item"),
+        "events": of("event"),
+        "clicks": of("event", F.col("member") == rule.click),
+    }
+    # Counts are added where an interval starts and taken off where it ends.
+    edges = pieces.select("mid", F.inline(F.array(
+        _boundary("start", 1, counts), _boundary("end", -1, counts)
+    )))
+    steps = edges.groupBy("mid", "at").agg(*[F.sum(n).alias(n) for n in counts])
     in_order = Window.partitionBy("mid").orderBy("at")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return steps.select(
         "mid", "at", F.lead("at").over(in_order).alias("next_at"),
-        *[F.sum(n).over(so_far).alias(n) for n in names],
+        *[F.sum(n).over(so_far).alias(n) for n in counts],
     )
 
 
@@ -147,8 +162,13 @@ def coupon_alerts(events: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame
     ``doc_id, alert_date, mid, window_end, users, items, events``;
     ``window_end`` is in epoch milliseconds.
     """
+    return alerts_from(alert_pieces(events, rule), rule)
+
+
+def alerts_from(pieces: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame:
+    """``coupon_alerts`` over prepared pieces."""
     grain, slide = rule.grain_ms, rule.slide_ms
-    runs = window_counts(events, rule).where(
+    runs = window_counts(pieces, rule).where(
         (F.col("users") >= rule.min_users) & (F.col("clicks") == 0)
         & (F.col("next_at") > F.col("at"))
     )
@@ -178,20 +198,16 @@ def alert_day(end_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(end_ms), "yyyy-MM-dd")
 
 
-def _listed(alerts: DataFrame, events: DataFrame, rule: AlertRule) -> DataFrame:
+def _listed(alerts: DataFrame, pieces: DataFrame, rule: AlertRule) -> DataFrame:
     """Alert columns with ``kind, member, n`` for everything an alert lists.
 
     Alerts and intervals meet on device and time slot of one window length, so
     only pairs at most two windows apart are compared.
     """
     length = rule.window_ms
-    tallies = event_tallies(events, rule).withColumn("kind", F.lit("event"))
-    pieces = (
-        member_spans(events, rule).withColumn("n", F.lit(1).cast("bigint"))
-        .unionByName(tallies)
-    )
     slots = F.sequence(_div(F.col("start"), length), _div(F.col("end") - 1, length))
-    spread = pieces.select("*", F.explode(slots).alias("_slot"))
+    # Never NULL; the outer form only keeps the optimizer from adding filters.
+    spread = pieces.select("*", F.explode_outer(slots).alias("_slot"))
     wanted = alerts.withColumn("_slot", _div(F.col("window_end"), length))
     covered = (F.col("window_end") >= F.col("start")) & (F.col("window_end") < F.col("end"))
     return (
@@ -202,7 +218,7 @@ def _listed(alerts: DataFrame, events: DataFrame, rule: AlertRule) -> DataFrame:
 
 
 def alert_members(
-    alerts: DataFrame, events: DataFrame, rule: AlertRule = AlertRule()
+    alerts: DataFrame, pieces: DataFrame, rule: AlertRule = AlertRule()
 ) -> DataFrame:
     """What each alert lists: ``doc_id, alert_date, kind, member, n``.
 
@@ -210,11 +226,11 @@ def alert_members(
     ids of the window with their number of repeats).
     """
     keys = alerts.select("doc_id", "alert_date", "mid", "window_end")
-    return _listed(keys, events, rule).select("doc_id", "alert_date", "kind", "member", "n")
+    return _listed(keys, pieces, rule).select("doc_id", "alert_date", "kind", "member", "n")
 
 
 def alert_documents(
-    alerts: DataFrame, events: DataFrame, rule: AlertRule = AlertRule(),
+    alerts: DataFrame, pieces: DataFrame, rule: AlertRule = AlertRule(),
     part_size: int = 10_000,
 ) -> DataFrame:
     """Alerts with their lists as arrays, cut into parts of about ``part_size``.
@@ -225,7 +241,7 @@ def alert_documents(
     """
     parts = F.ceil((F.col("users") + F.col("items")) / F.lit(part_size)).cast("bigint")
     heads = alerts.withColumn("parts", parts)
-    listed = _listed(heads, events, rule).withColumn(
+    listed = _listed(heads, pieces, rule).withColumn(
         "part", F.pmod(F.xxhash64("kind", "member"), F.col("parts"))
     )
 

@@ -193,15 +193,16 @@ def coupon_alert_fine(spark, sf_dir):
 
 
 def alert_members(spark, sf_dir):
-    log = inputs.coupon_log(spark, sf_dir)
-    return alerts.alert_members(alerts.coupon_alerts(log, DAY_RULE), log, DAY_RULE)
+    pieces = alerts.alert_pieces(inputs.coupon_log(spark, sf_dir), DAY_RULE)
+    return alerts.alert_members(alerts.alerts_from(pieces, DAY_RULE), pieces, DAY_RULE)
 
 
 def alert_documents(spark, sf_dir):
     """Alert documents; arrays joined to text."""
-    log = inputs.coupon_log(spark, sf_dir)
-    heads = alerts.coupon_alerts(log, DAY_RULE)
-    docs = alerts.alert_documents(heads, log, DAY_RULE)
+    pieces = alerts.alert_pieces(inputs.coupon_log(spark, sf_dir), DAY_RULE)
+    docs = alerts.alert_documents(
+        alerts.alerts_from(pieces, DAY_RULE), pieces, DAY_RULE
+    )
     listed = F.transform(
         "event_counts", lambda e: F.concat_ws("*", e["evid"], e["n"].cast("string"))
     )
