@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.host": "127.0.0.1",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),

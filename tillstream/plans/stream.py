@@ -52,7 +52,7 @@ def stream_first_seen(spark, sf_dir):
     )
     first = first_seen_stream(log, ["log_date", "user_id"], "ts")
     path = _store(first, "first-seen", mode="update")
-    return batch.log_rows(read_table(spark, path))
+    return batch.log_rows(read_table(spark, path, first.schema))
 
 
 def stream_sale_detail(spark, sf_dir):
@@ -63,7 +63,7 @@ def stream_sale_detail(spark, sf_dir):
     sales = join_streams(
         orders, details, ttl="100 days", lateness="4000 days", drop_copies=False
     )
-    return read_table(spark, _store(sales, "sales")).drop("batch_id")
+    return read_table(spark, _store(sales, "sales"), sales.schema).drop("batch_id")
 
 
 def stream_latest_user(spark, sf_dir):
@@ -72,7 +72,7 @@ def stream_latest_user(spark, sf_dir):
         "event_id", "event_type",
     )
     path = _store(rows, "users")
-    return read_latest(spark, path, ["user_id"], ["ts_us", "event_id"])
+    return read_latest(spark, path, ["user_id"], ["ts_us", "event_id"], rows.schema)
 
 
 def stream_coupon_alert(spark, sf_dir):
@@ -80,7 +80,7 @@ def stream_coupon_alert(spark, sf_dir):
     alerts = coupon_alert_stream(
         events, batch.DAY_RULE, lateness=f"{LATENESS_HOURS} hours"
     )
-    return read_table(spark, _store(alerts, "alerts")).drop("batch_id")
+    return read_table(spark, _store(alerts, "alerts"), alerts.schema).drop("batch_id")
 
 
 QUERIES = {

@@ -38,24 +38,34 @@ def write_batch(
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None
+) -> DataFrame:
     """The rows of all batches.
 
     Dates in partition names come back as text, as they were written; filters
-    on them still prune partitions.
+    on them still prune partitions.  With ``schema`` (the written columns) a
+    table whose batches were all empty can be read too.
     """
-    table = spark.read.parquet(path)
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(T.StructType(
+            [*schema.fields, T.StructField(BATCH, T.LongType())]
+        ))
+    table = reader.parquet(path)
+    written = {f.name: f.dataType for f in schema} if schema is not None else {}
     for field in table.schema:
-        if isinstance(field.dataType, T.DateType):
+        if isinstance(field.dataType, T.DateType) and field.name not in written:
             table = table.withColumn(field.name, F.col(field.name).cast("string"))
     return table.withColumn(BATCH, F.col(BATCH).cast("bigint"))
 
 
 def read_latest(
-    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()
+    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = (),
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Last written row per key, over all batches."""
-    rows = latest_record(read_table(spark, path), keys, [BATCH, *order])
+    rows = latest_record(read_table(spark, path, schema), keys, [BATCH, *order])
     return rows.drop(BATCH)
 
 
