@@ -256,6 +256,19 @@ def test_cards(spark):
     ]
 
 
+def test_realtime_total(spark):
+    dau = spark.createDataFrame(
+        [("2021-01-08", "a"), ("2021-01-09", "a"), ("2021-01-09", "b"),
+         ("2021-01-09", "c"), ("2021-01-10", "d")],
+        "logDate string, mid string",
+    )
+    table = order_table(spark, ("2021-01-09", "08", 1.5), ("2021-01-08", "08", 9.0))
+    cards = kpis.realtime_total(dau, table, "2021-01-09")
+    assert {r.id: r.value for r in cards.collect()} == {
+        "dau": 3.0, "new_mid": 2.0, "order_amount": 1.5,
+    }
+
+
 # --- sales and search ------------------------------------------------------
 
 def sale_inputs(spark):
@@ -303,6 +316,9 @@ def test_search(spark):
     assert rows(search.match_sales(out, keyword="%_c"), "order_detail_id") == [("b",)]
     with pytest.raises(ValueError):
         search.page_rows(red, 0, 1)
+    answer = search.search_sales(out, "2021-01-09", "red", 1, 10)
+    assert answer["total"].first().total == answer["detail"].count() == 2
+    assert sum(r.value for r in answer["age"].collect()) == 2
     assert rows(search.gender_share(out), "name", "value", "share") == sorted(
         [("F", 2, 66.67), (None, 1, 33.33)], key=repr
     )

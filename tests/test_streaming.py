@@ -59,6 +59,15 @@ def test_active_devices_batch(spark, feed):
     assert dau_keys(first) == g.FIRST_BATCH
 
 
+def test_active_devices_upper_names(spark, feed, tmp_path):
+    path = str(tmp_path / "dau")
+    run(jobs.active_device_job, file_stream(spark, feed("in", *g.FIRST_FILES)), path,
+        upper=True, name="upper", tmp_path=tmp_path)
+    table = read_table(spark, path)
+    assert set(table.columns) == {c.upper() for c in jobs.schemas.DAU_COLUMNS} | {"batch_id"}
+    assert {r.LOGDATE for r in table.collect()} == {"2021-01-11", "2021-01-12", "2021-01-14"}
+
+
 def test_active_devices_resume(spark, feed, tmp_path):
     """A restart from the checkpoint remembers what was emitted."""
     folder = feed("in", *g.FIRST_FILES[:1])

@@ -59,6 +59,18 @@ def dau_total(dau: DataFrame, day: str, date_col: str = "logDate") -> DataFrame:
     return dau.where(F.col(date_col) == day).agg(F.count("*").alias("value"))
 
 
+def new_total(dau: DataFrame, day: str, date_col: str = "logDate", device: str = "mid") -> DataFrame:
+    """Devices of the stored table whose first day is ``day``.
+
+    Later days cannot change the answer and are pruned.
+    """
+    first = (
+        dau.where(F.col(date_col) <= day)
+        .groupBy(device).agg(F.min(F.to_date(date_col)).alias("first_day"))
+    )
+    return first.where(F.col("first_day") == day).agg(F.count("*").alias("value"))
+
+
 def dau_hours(
     dau: DataFrame, date_col: str = "logDate", hour_col: str = "logHour"
 ) -> DataFrame:

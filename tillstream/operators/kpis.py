@@ -97,6 +97,15 @@ def kpi_cards(
     )
 
 
+def realtime_total(dau: DataFrame, orders: DataFrame, day: str) -> DataFrame:
+    """The KPI cards of a day from the stored device and order tables."""
+    return kpi_cards(
+        activity.dau_total(dau, day),
+        activity.new_total(dau, day),
+        order_ops.amount_total(orders, day),
+    )
+
+
 def cards_json(cards: DataFrame) -> DataFrame:
     """The card list as one JSON array (one element per card)."""
     return cards.agg(

@@ -76,3 +76,16 @@ def region_volume(orders: DataFrame, region: str, amount: str) -> DataFrame:
     return orders.groupBy(F.col(region).alias("region")).agg(
         F.count("*").alias("orders"), amount_sum(amount).alias("amount")
     )
+
+
+def search_sales(
+    sales: DataFrame, day: str | None, keyword: str | None, page: int, size: int
+) -> dict[str, DataFrame]:
+    """The answer of a sale search: ``total``, ``detail`` and both breakdowns."""
+    matched = match_sales(sales, day, keyword)
+    return {
+        "total": total_rows(matched),
+        "detail": page_rows(matched, page, size),
+        "gender": gender_share(matched),
+        "age": age_share(matched),
+    }

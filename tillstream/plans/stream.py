@@ -25,11 +25,13 @@ LATENESS_HOURS = 1
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a file stream."""
+    """A table as a file stream, be it one file or a folder of files.
+
+    The path is written as a pattern because a file stream takes a plain path
+    for a folder.
+    """
     schema = inputs.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option(
-        "pathGlobFilter", f"{name}.parquet"
-    ).parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _store(rows: DataFrame, name: str, mode: str = "append") -> str:

@@ -32,8 +32,11 @@ def first_seen_stream(
     first = F.min(F.struct("_batch", F.col(ts).alias("_ts", metadata={}), *rest))
     return (
         stamped.groupBy(*keys, F.window(ts, "1 day", "1 day", day_offset).alias("_day"))
-        .agg(first.alias("_first"))
-        .where(F.col("_first._batch") == F.current_timestamp())
+        .agg(first.alias("_first"), F.max("_batch").alias("_last"))
+        .where(
+            (F.col("_first._batch") == F.current_timestamp())
+            & (F.col("_last") == F.current_timestamp())
+        )
         .select(
             *keys,
             F.col("_first._ts").alias(ts, metadata={}),

@@ -108,10 +108,13 @@ def startup_rows(lines: DataFrame) -> DataFrame:
 
 
 def active_device_job(
-    lines: DataFrame, path: str, keep: str = "2 days", name: str = "active_devices",
-    **run,
+    lines: DataFrame, path: str, keep: str = "2 days", upper: bool = False,
+    name: str = "active_devices", **run,
 ) -> StreamingQuery:
-    """Startup logs to the table of first starts per device and day."""
+    """Startup logs to the table of first starts per device and day.
+
+    ``upper`` stores the columns under upper-case names.
+    """
     rows = counted(startup_rows(lines), "startup_records")
     rows = rows.select(*schemas.DAU_COLUMNS, "event_time")
     first = counted(
@@ -119,7 +122,7 @@ def active_device_job(
     )
     return start(
         first.select(*schemas.DAU_COLUMNS), name,
-        table_writer(path, ["logDate"]), mode="update", **run,
+        table_writer(path, ["logDate"], upper), mode="update", **run,
     )
 
 
@@ -127,7 +130,11 @@ def order_job(
     lines: DataFrame, path: str, quarantine: str | None = None, name: str = "orders",
     **run,
 ) -> StreamingQuery:
-    """Order rows, masked and dated, to the order table (key ``id``)."""
+    """Order rows, masked and dated, to the order table.
+
+    Read it with ``read_latest(..., ["id"])`` for one row per order, or with
+    ``read_table`` for every delivery.
+    """
     parsed = records.parse_lines(lines, schemas.ORDER_INFO, ("id", "create_time"))
     ready = prepare_orders(parsed).select(
         *schemas.ORDER_COLUMNS, records.BAD, records.RAW
