@@ -56,9 +56,13 @@ def frame(spark, rows):
     )
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_alerts_equal_naive_windows(spark, seed):
-    rows = sample(seed)
+@pytest.mark.parametrize("seed, n, span_ms", [
+    (0, 400, 600_000), (1, 400, 600_000), (2, 60, 600_000),
+    # About twenty time blocks, and users that stay across their borders.
+    (3, 9000, 80_000_000),
+])
+def test_alerts_equal_naive_windows(spark, seed, n, span_ms):
+    rows = sample(seed, n, span_ms=span_ms)
     want = naive(rows, RULE)
     pieces = alerts.alert_pieces(frame(spark, rows).repartition(3), RULE)
     heads = alerts.alerts_from(pieces, RULE)

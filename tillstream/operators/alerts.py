@@ -10,11 +10,13 @@ boundaries give the exact counts of every window.
 
 Sizes: after the first aggregation a device holds at most one row per step per
 member, and at most two boundary rows per step, however many records it had.
-No list of a device's records is ever built.
+Running sums restart in every time block, so the largest group is a block's
+boundaries, whatever the time range.  No list of a device's records is built.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,11 @@ class AlertRule:
             if getattr(self, name) % self.slide_ms:
                 raise ValueError(f"{name} must be a multiple of slide_ms")
 
+    @property
+    def block_ms(self) -> int:
+        """Time span counted as one unit; whole windows and whole minutes."""
+        return 64 * math.lcm(self.window_ms, self.grain_ms)
+
 
 def _div(value: Column, by: int) -> Column:
     """Whole division of non-negative milliseconds (exact below 2**53)."""
@@ -126,11 +133,22 @@ def _boundary(at: str, sign: int, counts: dict[str, Column]) -> Column:
     return F.struct(*fields)
 
 
+def _in_blocks(pieces: DataFrame, rule: AlertRule) -> DataFrame:
+    """Intervals cut at block borders, with their ``block``."""
+    size = rule.block_ms
+    blocks = F.sequence(_div(F.col("start"), size), _div(F.col("end") - 1, size))
+    # Never NULL; the outer form only keeps the optimizer from adding filters.
+    return pieces.select("*", F.explode_outer(blocks).alias("block")).withColumns({
+        "start": F.greatest("start", F.col("block") * size),
+        "end": F.least("end", (F.col("block") + 1) * size),
+    })
+
+
 def window_counts(pieces: DataFrame, rule: AlertRule) -> DataFrame:
     """Counts of every window as runs of equal windows.
 
-    ``mid, at, next_at, users, items, events, clicks``: each window of the
-    device that ends in ``[at, next_at)`` has these counts.
+    ``mid, block, at, next_at, users, items, events, clicks``: each window of
+    the device that ends in ``[at, next_at)`` has these counts.
     """
 
     def of(kind: str, also: Column | None = None) -> Column:
@@ -144,14 +162,14 @@ def window_counts(pieces: DataFrame, rule: AlertRule) -> DataFrame:
         "clicks": of("event", F.col("member") == rule.click),
     }
     # Counts are added where an interval starts and taken off where it ends.
-    edges = pieces.select("mid", F.inline(F.array(
+    edges = _in_blocks(pieces, rule).select("mid", "block", F.inline(F.array(
         _boundary("start", 1, counts), _boundary("end", -1, counts)
     )))
-    steps = edges.groupBy("mid", "at").agg(*[F.sum(n).alias(n) for n in counts])
-    in_order = Window.partitionBy("mid").orderBy("at")
+    steps = edges.groupBy("mid", "block", "at").agg(*[F.sum(n).alias(n) for n in counts])
+    in_order = Window.partitionBy("mid", "block").orderBy("at")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return steps.select(
-        "mid", "at", F.lead("at").over(in_order).alias("next_at"),
+        "mid", "block", "at", F.lead("at").over(in_order).alias("next_at"),
         *[F.sum(n).over(so_far).alias(n) for n in counts],
     )
 
@@ -175,12 +193,13 @@ def alerts_from(pieces: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame:
     last = F.col("next_at") - slide
     slots = F.explode(F.sequence(_div(F.col("at"), grain), _div(last, grain)))
     in_slot = runs.select("*", slots.alias("slot")).select(
-        "mid", "slot", "users", "items", "events",
+        "mid", "block", "slot", "users", "items", "events",
         F.least(last, (F.col("slot") + 1) * grain - slide).alias("window_end"),
     )
     best = F.max(F.struct("window_end", "users", "items", "events")).alias("a")
     return (
-        in_slot.groupBy("mid", "slot").agg(best)
+        # A slot lies in one block; naming it keeps the partitioning in use.
+        in_slot.groupBy("mid", "block", "slot").agg(best)
         .select(
             alert_id("mid", F.col("a.window_end"), grain).alias("doc_id"),
             alert_day(F.col("a.window_end")).alias("alert_date"),
