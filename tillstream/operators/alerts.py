@@ -99,11 +99,18 @@ def member_spans(events: DataFrame, rule: AlertRule) -> DataFrame:
     )
 
 
-def event_tallies(events: DataFrame, rule: AlertRule) -> DataFrame:
-    """Event ids with repeats: ``mid, member, start, end, n`` per slide step."""
+def event_tallies(
+    events: DataFrame, rule: AlertRule, listing: bool = True
+) -> DataFrame:
+    """Event ids with repeats: ``mid, member, start, end, n`` per slide step.
+
+    Without ``listing`` only clicks are told apart, which is enough to count.
+    """
+    evid = F.col("evid")
+    member = evid if listing else F.when(evid == rule.click, evid)
     return (
         _steps(events, rule)
-        .groupBy("mid", F.col("evid").alias("member"), F.col("_at").alias("start"))
+        .groupBy("mid", member.alias("member"), F.col("_at").alias("start"))
         .agg(F.count("*").alias("n"))
         .withColumn("end", F.col("start") + rule.window_ms)
     )
@@ -113,8 +120,8 @@ def alert_pieces(events: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame:
     """Everything alerts are made of: ``mid, kind, member, start, end, n``.
 
     Kinds are ``user`` and ``item`` (merged coverage, ``n`` = 1) and ``event``
-    (``n`` repeats in one step).  Counting and listing both start from here;
-    a caller that wants both may persist or store this frame.
+    (``n`` repeats in one step).  Counting and listing both start from here,
+    so a query that does both computes them once.
     """
     pieces = (
         member_spans(events, rule).withColumn("n", F.lit(1).cast("bigint"))
@@ -180,7 +187,11 @@ def coupon_alerts(events: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame
     ``doc_id, alert_date, mid, window_end, users, items, events``;
     ``window_end`` is in epoch milliseconds.
     """
-    return alerts_from(alert_pieces(events, rule), rule)
+    pieces = member_spans(events, rule).withColumn("n", F.lit(1).cast("bigint"))
+    tallies = event_tallies(events, rule, listing=False)
+    return alerts_from(
+        pieces.unionByName(tallies.withColumn("kind", F.lit("event"))), rule
+    )
 
 
 def alerts_from(pieces: DataFrame, rule: AlertRule = AlertRule()) -> DataFrame:
