@@ -284,3 +284,13 @@ def test_failed_write_is_retried(spark, feed, tmp_path):
     finish(go())
     assert calls == [0, 0]
     assert sorted(r.value for r in read_table(spark, path).collect()) == ["one", "two"]
+
+
+def test_kafka_needs_its_package(spark):
+    """Without the connector the source fails at once, naming it."""
+    from pyspark.errors import AnalysisException
+
+    from tillstream.sources.streams import kafka_stream
+
+    with pytest.raises(AnalysisException, match="(?i)kafka"):
+        kafka_stream(spark, "localhost:1", "startup_log")
