@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import packing, token_cache
+from tillstream.llm import decontamination, packing, token_cache, url_filter
 from tillstream.llm.common import scratch, table
 
 
@@ -21,6 +21,17 @@ def op3_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+# The contract's rules.
+URL_RULES = [
+    url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
+    url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -34,9 +45,52 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"), F.col("n_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_cache": op3_token_cache,
+    "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+ORACLES: dict[str, str] = {
+    "op8_decontamination": f"""
+        with d as (select doc_id, {_WORDS} as w from documents),
+        b as (select item_id, {_WORDS} as w from benchmark),
+        items as (
+            select distinct item_id, w[i:least(i + 9, len(w))] as win
+            from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i
+                  from b where len(w) > 0)),
+        sizes as (select distinct len(win) as n from items),
+        places as (
+            select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, w
+            from d, sizes where len(w) >= n),
+        met as (
+            select p.doc_id, p.i, p.n, items.item_id
+            from places p join items on items.win = p.w[p.i:p.i + p.n - 1]),
+        hit as (
+            select doc_id, count(distinct pos) as n_hit
+            from (select doc_id, unnest(range(i, i + n)) as pos from met) group by doc_id),
+        named as (
+            select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list
+            from (select distinct doc_id, item_id::varchar as item from met) group by doc_id)
+        select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+               coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(list, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join named using (doc_id)""",
+}
