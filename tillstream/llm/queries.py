@@ -8,8 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import decontamination, packing, token_cache, url_filter
-from tillstream.llm.common import scratch, table
+from tillstream.llm import (
+    decontamination, language, packing, quality, token_cache, url_filter,
+)
+from tillstream.llm.common import remainder, scratch, table
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality.rank_quality(docs, labels, training=remainder("doc_id", 5) != 0)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(
+        table(spark, sf_dir, "documents"), training=remainder("doc_id", 4) != 2)
+    return found.select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score",
+        "margin", "accepted")
 
 
 def op3_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +77,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op3_token_cache": op3_token_cache,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
