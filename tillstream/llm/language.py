@@ -109,7 +109,7 @@ def training_texts(docs: DataFrame, training: Column, per_language: int) -> list
 
 
 def identify(docs: DataFrame, training: Column, per_language: int = 150, dictionary_bytes: int = 1 << 16,
-             level: int = 1, min_margin: float = 0.02) -> DataFrame:
+             level: int = 6, min_margin: float = 0.02) -> DataFrame:
     """doc_id, lang_pred, score, margin, accepted for every row.
 
     Learns from text and lang of the rows for which ``training`` holds; the

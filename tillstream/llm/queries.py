@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import (
-    decontamination, language, packing, quality, token_cache, url_filter,
+    decontamination, fingerprints, language, packing, quality, token_cache, toxicity, url_filter,
 )
 from tillstream.llm.common import remainder, scratch, table
 
@@ -65,6 +65,18 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+        training=remainder("doc_id", 3) != 1)
+    return found.select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_cache": op3_token_cache,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 _WORDS = (
