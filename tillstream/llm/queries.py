@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import (
-    decontamination, fingerprints, language, packing, quality, token_cache, toxicity, url_filter,
+    decontamination, fingerprints, jaccard_join, language, packing, quality, token_cache,
+    toxicity, url_filter,
 )
 from tillstream.llm.common import remainder, scratch, table
 
@@ -88,6 +89,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_fingerprints": op9_fingerprints,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _WORDS = (
