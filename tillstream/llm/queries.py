@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import (
-    decontamination, fingerprints, jaccard_join, language, packing, quality, token_cache,
-    toxicity, url_filter,
+    decontamination, fingerprints, jaccard_join, language, packing, quality, suffix_dedup,
+    token_cache, toxicity, url_filter,
 )
 from tillstream.llm.common import remainder, scratch, table
 
@@ -66,6 +66,13 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_toxicity(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_cache": op3_token_cache,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_fingerprints": op9_fingerprints,
