@@ -5,9 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillstream.llm import queries
-from tillstream.llm.common import stored, table
+from tillstream.llm import decontamination, jaccard_join, quality, queries, suffix_dedup
+from tillstream.llm.common import remainder, stored, table
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that the quality ranking rejects go."""
+    return quality.keep_good(
+        docs, table(spark, sf_dir, "labels"), training=remainder("doc_id", 5) != 0)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each group of near duplicates stays."""
+    return jaccard_join.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: repeated strings of 400 bytes are cut out of the texts; a
+    character that the cut splits goes too, and n_chars follows."""
+    cut = suffix_dedup.remove_repeats(
+        docs, [c for c in docs.columns if c != "text"], as_text=True)
+    values = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return cut.select(*(values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents with a window of a benchmark item go."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +42,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", drop_poor),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
     ("packing", pack_sequences),
 ]
 

@@ -77,6 +77,20 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     )
 
 
+def row_key() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64("doc_id", whole_text())
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of documents without any window of the benchmark, with all columns."""
+    _, found, _ = occurrences(documents, benchmark, window)
+    if found is None:
+        return documents
+    hit = found.select(F.col("row").alias("__row")).distinct()
+    return documents.withColumn("__row", row_key()).join(hit, "__row", "left_anti").drop("__row")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Per row of documents: doc_id, n_words, n_hit, n_items, items.
 
@@ -87,9 +101,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     get equal results, several texts under one doc_id are told apart, either
     table may be empty, and only doc_id, item_id and text are read.
     """
-    docs = documents.select("doc_id", whole_text().alias("text")).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("row"), words(F.col("text")).alias("words")
-    )
+    docs, found, windows = occurrences(documents, benchmark, window)
+    if found is None:
+        return docs.select("doc_id", F.size("words").alias("n_words"), F.lit(0).alias("n_hit"),
+                           F.lit(0).alias("n_items"), F.array().cast("array<string>").alias("items"))
+    return counted(docs, found, windows)
+
+
+def occurrences(documents: DataFrame, benchmark: DataFrame,
+                window: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Documents as (doc_id, row, words); where windows occur in them as (row,
+    start, window, n_words), None without any window; and the items' windows."""
+    docs = documents.select("doc_id", row_key().alias("row"), words(whole_text()).alias("words"))
     windows = stored(item_windows(benchmark, window), "windows")
     parts = stored(window_shingles(windows), "window-shingles")
     sizes = [r[0] for r in windows.select(
@@ -106,8 +129,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
         placed = placed.join(wanted, "shingle", "left_semi")
         found = placed if found is None else found.unionByName(placed)
     if found is None:
-        return docs.select("doc_id", F.size("words").alias("n_words"), F.lit(0).alias("n_hit"),
-                           F.lit(0).alias("n_items"), F.array().cast("array<string>").alias("items"))
+        return docs, None, windows
     hits = stored(found.distinct(), "shingle-hits")
 
     # Order by rarity over all documents; a window with an absent shingle cannot occur.
@@ -134,14 +156,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
             lambda i: F.array_join(F.slice(array, i, size), " "),
         )).alias("off", "shingle")
     ).withColumn("pos", F.col("start") + F.col("off"))
-    occurrences = stored(
+    met = stored(
         expected.join(hits.select("row", "pos", "shingle"), ["row", "pos", "shingle"])
         .groupBy("row", "start", "window", "n_words", "n_shingles").agg(F.count("*").alias("met"))
         .where(F.col("met") == F.col("n_shingles"))
         .select("row", "start", "window", "n_words"),
         "occurrences",
     )
+    return docs, met, windows
+
 
+def counted(docs: DataFrame, occurrences: DataFrame, windows: DataFrame) -> DataFrame:
+    """Occurrences summed up per row of documents."""
     # Words inside any occurrence: what each adds to the ones that start before it.
     before = Window.partitionBy("row").orderBy("start").rowsBetween(
         Window.unboundedPreceding, -1)

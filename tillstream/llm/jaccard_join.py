@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillstream.llm.common import input_bytes, stored, whole_text
 from tillstream.llm.graph import components
@@ -345,3 +346,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
         F.col("row_id").alias(id_column), "n_shingles",
         F.when(F.col("class").isNull(), F.col("row_id")).otherwise(
             F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each component, with all columns: that of its smallest id.
+
+    Rows with a null id are kept.  Rows that repeat an id and a text are one.
+    """
+    found = near_duplicates(docs, size, percent)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(
+        F.col("doc_id").alias("__first")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", F.xxhash64("text"))
+    kept = named.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
+    once = Window.partitionBy("doc_id", "__text").orderBy("__text")
+    return kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop(
+        "__nth", "__text").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -9,6 +9,7 @@ the quantile of the labelled strengths that leaves the share of poor ones below.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -72,35 +73,48 @@ def preference_pairs(sample: DataFrame, per_document: int) -> DataFrame:
         pairs.select(F.transform("d", lambda x: -x).alias("d"), F.lit(0.0).alias("label")))
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, training: Column, threshold: float = 0.3,
-                 sample_rows: int = 3000) -> DataFrame:
-    """doc_id, score, strength, predicted for every row of ``docs``.
+@dataclass(frozen=True)
+class Ranking:
+    """Weights of the features, and the strength at which the score is ``threshold``."""
+
+    weights: tuple[float, ...]
+    cut: float
+    threshold: float
+
+    def strength(self, f: Column) -> Column:
+        weights = F.array(*(F.lit(w) for w in self.weights)).cast("array<double>")
+        return F.aggregate(F.zip_with(f, weights, lambda x, w: x * w), F.lit(0.0),
+                           lambda total, x: total + F.coalesce(x, F.lit(0.0)))
+
+    def score(self, strength: Column) -> Column:
+        shift = math.log(self.threshold / (1 - self.threshold)) - self.cut
+        bounded = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), strength + F.lit(shift)))
+        return 1 / (1 + F.exp(-bounded))
+
+
+def fit_ranking(described: DataFrame, labels: DataFrame, training: Column, threshold: float = 0.3,
+                sample_rows: int = 3000) -> Ranking:
+    """Learn from rows (doc_id, f) with a label.
 
     ``labels`` has doc_id and quality (1 preferred to 0; null rows are left
     out); only rows for which ``training`` holds are learned from, at most
     ``sample_rows`` of each label, those with the smallest hash of their
-    features.  ``score`` is the logistic of the strength, moved so that the
-    threshold score falls on the quantile of labelled strengths at the share of
-    label 0.  With one label or none there is nothing to rank and all scores
-    are that label's share (0.5 without labels).  Null texts count as empty;
-    repeated rows and ids keep their rows; only doc_id and text are read.
+    features.  The cut is the quantile, among all labelled strengths, at the
+    share of label 0.  With one label or none there is nothing to rank: every
+    strength is 0 and the score is the share of label 1 (0.5 without labels).
     """
-    described = stored(
-        docs.select("doc_id", whole_text().alias("text"))
-        .select("doc_id", features(F.col("text")).alias("f")), "quality-features")
     marked = labels.where(training & F.col("quality").isNotNull()).select(
         "doc_id", F.col("quality").cast("int").alias("label"))
     labelled = stored(
-        described.join(marked, "doc_id").select(
+        described.select("doc_id", "f").join(marked, "doc_id").select(
             "label", "f", F.xxhash64("f").alias("h"), F.col("doc_id").alias("row_id")),
         "quality-labelled")
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
+    shift = math.log(threshold / (1 - threshold))
     if not (counts.get(0) and counts.get(1)):
-        share = counts.get(1, 0) / total if total else 0.5
-        return described.select(
-            "doc_id", F.lit(share).alias("score"), F.lit(0.0).alias("strength"),
-            F.lit(int(share >= threshold)).alias("predicted"))
+        share = min(max(counts.get(1, 0) / total if total else 0.5, 1e-6), 1 - 1e-6)
+        return Ranking((), shift - math.log(share / (1 - share)), threshold)
     sample = stored(
         labelled.where("label = 1").orderBy("h", "row_id").limit(sample_rows).unionByName(
             labelled.where("label = 0").orderBy("h", "row_id").limit(sample_rows)),
@@ -108,20 +122,35 @@ def rank_quality(docs: DataFrame, labels: DataFrame, training: Column, threshold
     pairs = preference_pairs(sample, PAIRS_PER_DOCUMENT)
     model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60).fit(
         pairs.select(array_to_vector("d").alias("features"), "label"))
-    weights = F.array(*(F.lit(float(w)) for w in model.coefficients))
-
-    def strength(f: Column) -> Column:
-        return F.aggregate(F.zip_with(f, weights, lambda x, w: x * w), F.lit(0.0),
-                           lambda total, x: total + x)
-
+    ranking = Ranking(tuple(float(w) for w in model.coefficients), 0.0, threshold)
     share = counts[0] / total
-    below, above = labelled.select(strength(F.col("f")).alias("s")).agg(
+    below, above = labelled.select(ranking.strength(F.col("f")).alias("s")).agg(
         F.percentile_approx("s", F.array(F.lit(max(0.0, share - 1 / total)),
                                          F.lit(min(1.0, share + 1 / total))), 100_000)
     ).first()[0]
-    cut = (below + above) / 2
-    shift = math.log(threshold / (1 - threshold))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(
-        F.lit(500.0), F.col("strength") - F.lit(cut) + F.lit(shift)))))
-    return described.withColumn("strength", strength(F.col("f"))).withColumn("score", score).select(
-        "doc_id", "score", "strength", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return Ranking(ranking.weights, (below + above) / 2, threshold)
+
+
+def rank_quality(docs: DataFrame, labels: DataFrame, training: Column,
+                 threshold: float = 0.3) -> DataFrame:
+    """doc_id, score, strength, predicted for every row of ``docs``.
+
+    Null texts count as empty; repeated rows and ids keep their rows; an empty
+    table gives no rows; only doc_id and text are read.
+    """
+    described = stored(
+        docs.select("doc_id", features(whole_text()).alias("f")), "quality-features")
+    ranking = fit_ranking(described, labels, training, threshold)
+    strength = ranking.strength(F.col("f"))
+    return described.select("doc_id", ranking.score(strength).alias("score"),
+                            strength.alias("strength")).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, training: Column,
+              threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all columns.
+    Each row is judged where it is read; texts are not moved."""
+    ranking = fit_ranking(
+        docs.select("doc_id", features(whole_text()).alias("f")), labels, training, threshold)
+    return docs.where(ranking.score(ranking.strength(features(whole_text()))) >= threshold)

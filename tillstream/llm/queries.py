@@ -15,12 +15,10 @@ from tillstream.llm import (
 from tillstream.llm.common import remainder, scratch, table
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return quality.rank_quality(docs, labels, training=remainder("doc_id", 5) != 0)
-
-
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.rank_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+        training=remainder("doc_id", 5) != 0)
     return found.select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
@@ -67,7 +65,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select(
         "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))

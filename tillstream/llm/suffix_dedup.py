@@ -219,34 +219,38 @@ def sort_buckets(payloads: DataFrame) -> DataFrame:
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """(chunk, ids, lengths, body): texts in chunks, named by their content, so
-    that evaluating the input again gives the same names."""
+    """(chunk, carried, lengths, body): rows (row, text) in chunks, named by
+    their content, so that evaluating the input again gives the same names."""
 
-    def close(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        body = b"".join(texts)
-        mark = hashlib.blake2b(repr(ids).encode(), digest_size=8)
+    def close(carried: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
+        body, own = b"".join(texts), pa.concat_arrays(carried)
+        mark = hashlib.blake2b(repr(own.to_pylist()).encode(), digest_size=8)
         mark.update(body)
         chunk = int.from_bytes(mark.digest(), "little", signed=True)
         packed = pa.compress(body, codec="zstd", asbytes=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+            [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own),
              pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([packed], pa.binary())],
-            ["chunk", "ids", "lengths", "body"])
+            ["chunk", "carried", "lengths", "body"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        carried, texts, size = [], [], 0
         for batch in batches:
-            for row_id, text in zip(batch.column(0), batch.column(1)):
-                ids.append(row_id.as_py())
+            start = 0
+            for i, text in enumerate(batch.column(1)):
                 texts.append(text.as_py().encode())
                 size += len(texts[-1])
                 if size >= CHUNK_BYTES:
-                    yield close(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield close(ids, texts)
+                    carried.append(batch.column(0).slice(start, i + 1 - start))
+                    yield close(carried, texts)
+                    carried, texts, size, start = [], [], 0, i + 1
+            carried.append(batch.column(0).slice(start))
+        if texts:
+            yield close(carried, texts)
 
-    return rows.mapInArrow(work, "chunk bigint, ids array<bigint>, lengths array<bigint>, body binary")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(
+        work, f"chunk bigint, carried array<{kind}>, lengths array<bigint>, body binary")
 
 
 def unpack(row: dict) -> list[bytes]:
@@ -256,20 +260,21 @@ def unpack(row: dict) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, id_column: str = "doc_id",
-                   text_column: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, starts, ends (the maximal removed runs)
-    and kept (the other bytes, which need not be whole characters).
+def remove_repeats(docs: DataFrame, carry: list[str], window: int = 400,
+                   text_column: str = "text", as_text: bool = False) -> DataFrame:
+    """Per row: the carried columns, n_bytes, n_removed, starts, ends (the
+    maximal removed runs) and kept (the other bytes, which need not be whole
+    characters; with ``as_text`` a string of the whole ones).
 
     A byte goes if a string of ``window`` bytes that covers it also starts
     anywhere else, in the same text or another; all is judged on the input.
     Null texts count as empty, shorter texts lose nothing, copies of a long
-    text are removed whole, each of them; repeated rows are copies; ids may be
-    null or repeated and are only passed on; an empty table gives no rows.
+    text are removed whole, each of them; repeated rows are copies; the carried
+    columns may hold nulls and are only passed on; an empty table gives no rows.
     Equality is that of 64-bit fingerprints.
     """
     v, cover = difference_cover(window)
-    rows = docs.select(F.col(id_column).cast("long").alias("row_id"), whole_text(text_column).alias("text"))
+    rows = docs.select(F.struct(*carry).alias("row"), whole_text(text_column).alias("text"))
     buckets = max(1, min(1 << 20, input_bytes(rows, "text") // BUCKET_BYTES))
     chunks = chunked(rows)
 
@@ -291,6 +296,8 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_column: str = "doc_id"
 
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
         columns: list[tuple] = []
+        carried = pa.chunked_array([c.flatten() for c in left.column("carried").chunks]).combine_chunks() \
+            if left.num_rows else pa.array([], left.schema.field("carried").type.value_type)
         rows = left.to_pylist()
         for row in rows:
             everything = unpack(row)
@@ -303,25 +310,29 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_column: str = "doc_id"
             found = {}
             for i, text in enumerate(texts.bytes):
                 found[text] = cut(text, places[i][repeats[i]], window, bool(copied[i]))
-            for row_id, text in zip(row["ids"], everything):
+            for text in everything:
                 starts, ends, kept = found.get(text, ([], [], text))
-                columns.append((row_id, len(text), len(text) - len(kept), starts, ends, kept))
-        lists = list(zip(*columns)) or [[]] * 6
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(lists, RESULT)], schema=RESULT)
+                columns.append((len(text), len(text) - len(kept), starts, ends,
+                                kept.decode(errors="ignore") if as_text else kept))
+        lists = list(zip(*columns)) or [[]] * 5
+        kinds = [*RESULT, pa.string() if as_text else pa.binary()]
+        return pa.Table.from_arrays(
+            [carried, *(pa.array(c, k) for c, k in zip(lists, kinds))],
+            names=["row", "n_bytes", "n_removed", "starts", "ends", "kept"])
 
     answered = tied.select("chunk", "bucket", "bits")
     left = sort_buckets(
         chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(second, PAYLOADS))
     both = tied.withColumn("step", F.lit(1)).unionByName(left.withColumn("step", F.lit(2)))
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(
-        third, "row_id bigint, n_bytes bigint, n_removed bigint, starts array<bigint>, "
-               "ends array<bigint>, kept binary").withColumnRenamed("row_id", id_column)
+    kind, text = rows.schema["row"].dataType.simpleString(), "string" if as_text else "binary"
+    found = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(
+        third, f"row {kind}, n_bytes bigint, n_removed bigint, starts array<bigint>, "
+               f"ends array<bigint>, kept {text}")
+    return found.select("row.*", "n_bytes", "n_removed", "starts", "ends", "kept")
 
 
 EMPTY = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())])
-RESULT = pa.schema([
-    ("row_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-    ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
+RESULT = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def answers(table: pa.Table) -> dict[int, bytes]:
