@@ -124,7 +124,7 @@ def test_route_logs(spark):
         ("startup_log", "a"), ("event_log", "b"), ("event_log", "c"), (None, None),
     ], key=repr)
     values = {r.key: r.value for r in out.collect()}
-    assert json.loads(values["a"]) == {"type": "startup", "mid": "a", "ts": "99", "pgid": "4"}
+    assert json.loads(values["a"]) == {"type": "startup", "mid": "a", "ts": 99, "pgid": 4}
     assert values[None] == "junk"
     again = records.parse_lines(out.select("value"), schemas.EVENT_LOG, ("mid", "ts"))
     assert {r.ts for r in records.good_rows(again).collect()} == {99}
@@ -335,17 +335,67 @@ def test_age_groups(spark, age, group):
     assert df.select(search.age_group("age")).first()[0] == group
 
 
-def test_deep_pages_are_exact(spark):
-    """Beyond the top-k threshold the range sort gives the same pages."""
+def test_pages_by_key_reach_any_depth(spark):
     df = spark.range(1000).select(
-        F.pmod(F.col("id") * 389, F.lit(1000)).alias("order_detail_id")
+        F.pmod(F.col("id") * 389, F.lit(1000)).alias("a"), F.lit("x").alias("b")
     ).repartition(7)
-    spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", "50")
-    try:
-        got = [r[0] for r in search.page_rows(df, 31, 30).collect()]
-    finally:
-        spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", "100000")
-    assert sorted(got) == list(range(900, 930))
+    got, after = [], None
+    while page := search.page_after(df, after, 150, ("b", "a")).collect():
+        got += [r.a for r in page]
+        after = (page[-1].b, page[-1].a)
+    assert got == list(range(1000))
+    plan = search.page_after(df, ("x", 900), 25, ("b", "a"))._jdf.queryExecution()
+    assert "TakeOrderedAndProject(limit=25" in plan.executedPlan().toString()
+    with pytest.raises(ValueError, match="page_after"):
+        search.page_rows(df, 401, 25)
+
+
+def test_search_answer_is_one_object(spark):
+    o, d, u = sale_inputs(spark)
+    out = sales.enrich_users(sales.join_details(o, d), u, "2021-01-12")
+    answer = search.search_answer(search.search_sales(out, "2021-01-09", "red", 1, 10))
+    got = json.loads(answer.first().value)
+    assert got["total"] == 2 and len(got["detail"]) == 2
+    assert sum(r["value"] for r in got["stat"]["age"]) == 2
+    nothing = search.search_answer(search.search_sales(out, "1999-01-01", None, 1, 10))
+    assert json.loads(nothing.first().value)["total"] == 0
+
+
+def test_buyers_join_at_orders_or_counts(spark):
+    o, d, u = sale_inputs(spark)
+    late = sales.enrich_users(sales.join_details(o, d), u, "2021-01-12")
+    early = sales.join_details(sales.with_buyers(o, u, "2021-01-12"), d).select(*late.columns)
+    assert rows(early, *late.columns) == rows(late, *late.columns)
+    counted = search.per_buyer(sales.join_details(o, d), u, "2021-01-12")
+    assert rows(search.gender_share(counted, "n"), "name", "value") == rows(
+        search.gender_share(late), "name", "value")
+
+
+def test_amounts_keep_small_digits(spark):
+    df = spark.createDataFrame([("d", 0.004)] * 1000 + [("e", 1e14)] * 3, "d string, a double")
+    got = {r.d: r.amount for r in orders.amount_by(df, ["d"], "a").collect()}
+    assert got == {"d": 4.0, "e": 3e14}
+
+
+@pytest.mark.parametrize("amount", ["NaN", "Infinity", "1e17", "-1e300"])
+def test_unusable_amounts_are_bad(spark, amount):
+    line = json.dumps({"id": "1", "create_time": "2021-01-09 05:00:00", "total_amount": amount})
+    parsed = records.parse_lines(lines(spark, line), schemas.ORDER_INFO, ("id", "create_time"))
+    assert [r[records.BAD] for r in orders.prepare_orders(parsed).collect()] == [True]
+
+
+def test_other_databases_are_dropped(spark):
+    entry = {"entry_type": "ROWDATA", "database_name": "shop", "table_name": "order_info",
+             "event_type": "INSERT", "row_datas": [{"after": {"id": "1"}}]}
+    twin = {**entry, "database_name": "old", "row_datas": [{"after": {"id": "2"}}]}
+    df = parse_entries(lines(spark, json.dumps(entry), json.dumps(twin)))
+    assert rows(routing.route_changes(change_rows(df, "shop")), "key") == [("1",)]
+    assert routing.route_changes(change_rows(df)).count() == 2
+
+
+def test_unique_orders(spark):
+    o, d, _ = sale_inputs(spark)
+    assert sales.join_details(sales.unique_orders(o.unionByName(o)), d).count() == 3
 
 
 def test_region_volume(spark):

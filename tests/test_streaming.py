@@ -10,11 +10,12 @@ from tests import goldens as g
 from tillstream.operators import alerts, dedup
 from tillstream.operators.routing import Topics
 from tillstream.sources.streams import file_stream, read_lines
-from tillstream.sources.tables import compact, read_latest, read_table, write_batch
+from tillstream.sources.tables import read_latest, read_table, roll_up, write_batch
 from tillstream.streaming import jobs
 from tillstream.streaming.sales import join_streams
 
 ONE_FILE = {"maxFilesPerTrigger": "1"}
+STORED = {"written_at", "writer", "batch_id"}
 
 
 def finish(query):
@@ -42,7 +43,7 @@ def test_active_devices_emit_once(spark, feed, tmp_path):
     table = read_table(spark, path)
     assert table.count() == 5
     assert dau_keys(table) == g.FIRST_STREAM
-    assert set(table.columns) == set(jobs.schemas.DAU_COLUMNS) | {"batch_id"}
+    assert set(table.columns) == set(jobs.schemas.DAU_COLUMNS) | STORED
     counts = [
         p.observedMetrics["startup_records"].records
         for p in query.recentProgress if p.observedMetrics
@@ -64,7 +65,7 @@ def test_active_devices_upper_names(spark, feed, tmp_path):
     run(jobs.active_device_job, file_stream(spark, feed("in", *g.FIRST_FILES)), path,
         upper=True, name="upper", tmp_path=tmp_path)
     table = read_table(spark, path)
-    assert set(table.columns) == {c.upper() for c in jobs.schemas.DAU_COLUMNS} | {"batch_id"}
+    assert set(table.columns) == {c.upper() for c in jobs.schemas.DAU_COLUMNS} | STORED
     assert {r.LOGDATE for r in table.collect()} == {"2021-01-11", "2021-01-12", "2021-01-14"}
 
 
@@ -142,7 +143,7 @@ def test_sale_join_ttl(spark, feed):
 
 
 def test_sale_job(spark, feed, tmp_path):
-    users = str(tmp_path / "users")
+    users = str(tmp_path / "user_table")
     now = time.time()
     run(jobs.user_job, file_stream(spark, feed(
         "users", [g.user("5"), g.user("6", gender="M")], [g.user("5", user_level="3")],
@@ -150,7 +151,7 @@ def test_sale_job(spark, feed, tmp_path):
     path = str(tmp_path / "sales")
     run(
         jobs.sale_job,
-        file_stream(spark, feed("orders", [g.order("1"), g.order("2", user="99")], start=now)),
+        file_stream(spark, feed("orders", [g.order("1"), g.order("2", user="99"), g.order("1")], start=now)),
         file_stream(spark, feed("details", [
             g.detail("10", "1"), g.detail("11", "1", order_price="x"),
             g.detail("12", "2"), g.detail("13", "3"), g.detail("10", "1"),
@@ -159,7 +160,7 @@ def test_sale_job(spark, feed, tmp_path):
         path, as_of="2021-01-12", name="sales", tmp_path=tmp_path,
     )
     rows = {r.order_detail_id: r for r in read_table(spark, path).collect()}
-    assert set(rows) == {"10", "11", "12"}
+    assert set(rows) == {"10", "11", "12"} and read_table(spark, path).count() == 3
     known, unknown = rows["10"], rows["12"]
     assert (known.user_gender, known.user_age, known.user_level) == ("F", 31, "3")
     assert (unknown.user_gender, unknown.user_age, unknown.user_level) == (None, 0, None)
@@ -248,17 +249,91 @@ def test_console_job(spark, feed, tmp_path, capfd):
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     first = spark.createDataFrame([("a", "d1"), ("b", "d2")], "id string, d string")
-    write_batch(first, path, 0, ["d"])
-    write_batch(first.limit(0), path, 1, ["d"])
-    write_batch(spark.createDataFrame([("a", "d1")], "id string, d string"), path, 1, ["d"])
-    write_batch(first, path, 0, ["d"])
+    write_batch(first, path, 0, ["d"], "w")
+    write_batch(first.limit(0), path, 1, ["d"], "w")
+    write_batch(spark.createDataFrame([("a", "d1")], "id string, d string"), path, 1, ["d"], "w")
+    write_batch(first, path, 0, ["d"], "w")
     assert read_table(spark, path).count() == 3
     assert read_latest(spark, path, ["id"]).count() == 2
-    target = str(tmp_path / "compacted")
-    compact(spark, path, target, ["id"], partition_by=["d"])
-    assert sorted((r.id, r.batch_id) for r in read_table(spark, target).collect()) == [
-        ("a", 1), ("b", 0),
+    # Another writer's batch of the same number adds.
+    write_batch(first, path, 0, ["d"], "v")
+    assert read_table(spark, path).count() == 5
+    target = str(tmp_path / "rolled")
+    roll_up(spark, path, target, ["id"], partition_by=["d"])
+    assert sorted((r.id, r.d) for r in read_table(spark, target).collect()) == [
+        ("a", "d1"), ("b", "d2"),
     ]
+    write_batch(first, target, 0, ["d"], "w")
+    assert read_table(spark, target).count() == 4
+    assert read_latest(spark, target, ["id"]).count() == 2
+
+
+def test_new_checkpoint_adds(spark, feed, tmp_path):
+    """A second query on the same table starts at batch 0 and erases nothing."""
+    path = str(tmp_path / "orders")
+    for i in ("1", "2"):
+        lines = file_stream(spark, feed(f"in{i}", [g.order(i)]))
+        finish(jobs.order_job(lines, path, str(tmp_path / "bad"), name=f"o{i}",
+                              trigger=jobs.ALL_AVAILABLE, checkpoint=str(tmp_path / f"c{i}")))
+    assert {r.id for r in read_table(spark, path).collect()} == {"1", "2"}
+
+
+def test_two_jobs_share_a_quarantine(spark, feed, tmp_path):
+    bad = str(tmp_path / "bad")
+    run(jobs.order_job, file_stream(spark, feed("a", ["x"])), str(tmp_path / "o"), bad,
+        name="orders", tmp_path=tmp_path)
+    run(jobs.user_job, file_stream(spark, feed("b", ["y"])), str(tmp_path / "u"), bad,
+        name="users", tmp_path=tmp_path)
+    assert {r.value for r in read_table(spark, bad).collect()} == {"x", "y"}
+
+
+def test_the_last_line_of_a_file_wins(spark, feed, tmp_path):
+    users = str(tmp_path / "user_table")
+    lines = feed("in", [g.user("5", user_level="3"), g.user("5", user_level="1")])
+    run(jobs.user_job, file_stream(spark, lines), users, name="users", tmp_path=tmp_path)
+    assert [r.user_level for r in read_latest(spark, users, ["id"], ["seq"]).collect()] == ["1"]
+
+
+def test_day_filters_prune_current_rows(spark, feed, tmp_path):
+    path = str(tmp_path / "orders")
+    run(jobs.order_job, file_stream(spark, feed("in", [g.order("1")])), path,
+        name="orders", tmp_path=tmp_path)
+    day = read_latest(spark, path, ["create_date", "id"]).where("create_date = '2021-01-09'")
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(create_date" in plan and day.count() == 1
+
+
+@pytest.mark.parametrize("ts", ["9223372036854775807", "-9223372036854775808"])
+def test_times_out_of_range_do_not_stop_a_stream(spark, feed, tmp_path, ts):
+    poison = '{"mid": "m9", "ts": %s}' % ts
+    lines = feed("in", [g.startup("m1", 1), poison], [g.startup("m2", 2)])
+    path, bad = str(tmp_path / "dau"), str(tmp_path / "bad")
+    run(jobs.active_device_job, file_stream(spark, lines, ONE_FILE), path, quarantine=bad,
+        name="dau", tmp_path=tmp_path)
+    for query in spark.streams.active:
+        finish(query)
+    assert {r.mid for r in read_table(spark, path).collect()} == {"m1", "m2"}
+    assert [r.value for r in read_table(spark, bad).collect()] == [poison]
+
+
+def test_repeated_keys_do_not_stop_the_router(spark, feed, tmp_path):
+    lines = feed("in", ['{"mid": "a", "mid": "b", "n": 5, "o": {"p": [1]}}', "junk"],
+                 [g.startup("m1", 1)])
+    path, bad = str(tmp_path / "topics"), str(tmp_path / "bad")
+    run(jobs.log_router_job, file_stream(spark, lines, ONE_FILE), path, quarantine=bad,
+        name="router", tmp_path=tmp_path)
+    values = {r.key: json.loads(r.value) for r in read_table(spark, path).collect()}
+    assert set(values) == {"b", "m1"} and isinstance(values["b"].pop("ts"), int)
+    assert values["b"] == {"mid": "b", "n": 5, "o": {"p": [1]}}
+    assert [r.value for r in read_table(spark, bad).collect()] == ["junk"]
+
+
+def test_unreadable_changes_are_kept(spark, feed, tmp_path):
+    path, bad = str(tmp_path / "topics"), str(tmp_path / "bad")
+    run(jobs.change_router_job, file_stream(spark, feed("in", [*CHANGES[:1], "{broken"])), path,
+        quarantine=bad, name="cdc", tmp_path=tmp_path)
+    assert read_table(spark, path).count() == 2
+    assert [r.value for r in read_table(spark, bad).collect()] == ["{broken"]
 
 
 def test_failed_write_is_retried(spark, feed, tmp_path):

@@ -52,6 +52,11 @@ def parse_lines(
     )
 
 
+def flag(parsed: DataFrame, fault: Column) -> DataFrame:
+    """Set ``_bad`` where a further fault holds (NULL counts as one)."""
+    return parsed.withColumn(BAD, F.col(BAD) | F.coalesce(fault, F.lit(True)))
+
+
 def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where(~F.col(BAD)).drop(BAD, RAW)
 

@@ -11,9 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Years 1 to 9999 in epoch milliseconds.
+FIRST_MS, LAST_MS = -62135596800000, 253402300799999
+
+
+def usable_millis(column: str) -> Column:
+    """Whether epoch milliseconds name a time in the years 1 to 9999."""
+    return F.col(column).between(FIRST_MS, LAST_MS)
+
+
 def from_millis(column: str) -> Column:
-    """Epoch milliseconds to a timestamp."""
-    return F.timestamp_millis(F.col(column))
+    """Epoch milliseconds to a timestamp; NULL outside the years 1 to 9999."""
+    return F.timestamp_millis(F.when(usable_millis(column), F.col(column)))
 
 
 def date_text(ts: Column) -> Column:

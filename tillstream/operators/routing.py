@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Topic names, and the tables and statement kinds of the feed.
 @dataclass(frozen=True)
 class Topics:
     startup: str = "startup_log"
@@ -43,22 +44,26 @@ def route_logs(
 ) -> DataFrame:
     """Stamp each JSON log with the arrival time and choose its topic.
 
-    ``ts`` of the client is replaced.  Lines that are not JSON objects get a
-    NULL topic.
+    ``ts`` of the client is replaced by a number, all other values keep their
+    types.  A repeated key counts with its last value where the session allows
+    repeated keys; otherwise, and for lines that are not JSON objects, the
+    topic is NULL and the line stays as it came.
     """
     now = F.unix_millis(F.current_timestamp()) if clock is None else clock
-    body = F.from_json(F.col(value), "map<string,string>")
+    body = F.try_variant_get(F.try_parse_json(F.col(value)), "$", "map<string,variant>")
     rows = lines.select(
         F.map_filter(body, lambda k, _: k != "ts").alias("_body"),
-        now.cast("string").alias("_ts"),
+        F.parse_json(now.cast("string")).alias("_ts"),
         F.col(value).alias("_raw"),
     )
     stamped = F.to_json(F.map_concat("_body", F.create_map(F.lit("ts"), F.col("_ts"))))
+
+    def text(key: str) -> Column:
+        return F.try_variant_get(F.col("_body")[key], "$", "string")
+
     return rows.select(
-        F.when(
-            F.col("_body").isNotNull(), log_topic(F.col("_body")["type"], topics)
-        ).alias("topic"),
-        F.col("_body")["mid"].alias("key"),
+        F.when(F.col("_body").isNotNull(), log_topic(text("type"), topics)).alias("topic"),
+        text("mid").alias("key"),
         F.coalesce(stamped, F.col("_raw")).alias("value"),
     )
 

@@ -28,6 +28,16 @@ def unique_details(details: DataFrame) -> DataFrame:
     return details.distinct()
 
 
+def unique_orders(orders: DataFrame) -> DataFrame:
+    """One row per order id: of an order delivered twice, the larger row.
+
+    Copies collapse inside each task before the shuffle.
+    """
+    rest = [c for c in orders.columns if c != "id"]
+    return orders.groupBy("id").agg(F.max(F.struct(*rest)).alias("_o")).select(
+        *[F.col(c) if c == "id" else F.col("_o")[c].alias(c) for c in orders.columns])
+
+
 def join_details(
     orders: DataFrame,
     details: DataFrame,
@@ -48,7 +58,8 @@ def join_details(
         match &= ttl_condition(
             F.col(f"o.{order_time}"), F.col(f"d.{detail_time}"), ttl
         )
-    return o.join(d, match, "inner").select(*sale_columns())
+    buyer = [F.col(f"o.{c}") for c in BUYER_COLUMNS if c in orders.columns]
+    return o.join(d, match, "inner").select(*sale_columns(), *buyer)
 
 
 def ttl_condition(left: Column, right: Column, ttl: str) -> Column:
@@ -71,6 +82,36 @@ def sale_columns(order: str = "o", detail: str = "d") -> list[Column]:
     ]
 
 
+BUYER_COLUMNS = ["user_gender", "user_age", "user_level"]
+
+
+def buyers(users: DataFrame, as_of: str | None = None) -> DataFrame:
+    """``user_id`` with gender, age and level."""
+    return users.select(
+        F.col("id").alias("user_id"),
+        F.col("gender").alias("user_gender"),
+        age_years(F.col("birthday"), as_of).alias("_age"),
+        F.col("user_level"),
+    )
+
+
+def with_buyers(rows: DataFrame, users: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Add the buyer to rows with ``user_id``; unknown buyers keep age 0.
+
+    Join orders, or counts per buyer, rather than joined sale rows: the sales
+    then need no second shuffle, and a buyer with many sales is no hot key.
+    """
+    return rows.join(buyers(users, as_of), "user_id", "left").select(
+        *rows.columns, "user_gender", F.coalesce("_age", F.lit(0)).alias("user_age"), "user_level",
+    )
+
+
+SALE_ORDER = [
+    "order_detail_id", "order_id", "order_status", "create_time", "user_id", "sku_id",
+    "user_gender", "user_age", "user_level", "sku_price", "sku_name", "dt",
+]
+
+
 def enrich_users(
     sales: DataFrame, users: DataFrame, as_of: str | None = None
 ) -> DataFrame:
@@ -80,16 +121,4 @@ def enrich_users(
     sides are plain shuffles, so Catalyst broadcasts the users only when their
     size allows and adaptive execution splits a hot buyer otherwise.
     """
-    dim = users.select(
-        F.col("id").alias("user_id"),
-        F.col("gender").alias("user_gender"),
-        age_years(F.col("birthday"), as_of).alias("_age"),
-        F.col("user_level"),
-    )
-    joined = sales.join(dim, "user_id", "left")
-    return joined.select(
-        "order_detail_id", "order_id", "order_status", "create_time", "user_id",
-        "sku_id", "user_gender",
-        F.coalesce("_age", F.lit(0)).alias("user_age"),
-        "user_level", "sku_price", "sku_name", "dt",
-    )
+    return with_buyers(sales, users, as_of).select(*SALE_ORDER)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tillstream.operators.orders import amount_sum
+from tillstream.operators.sales import with_buyers
 
 
 def match_sales(
@@ -24,31 +25,62 @@ def total_rows(matched: DataFrame) -> DataFrame:
     return matched.agg(F.count("*").alias("total"))
 
 
+PAGED_ROWS = 10_000
+
+
 def page_rows(
     matched: DataFrame, page: int, size: int, order: tuple[str, ...] = ("order_detail_id",)
 ) -> DataFrame:
     """One result page, pages counted from 1.
 
-    Near pages run as top-k in each task; beyond the session's top-k threshold
-    Spark sorts by range instead, so any depth is exact.
+    A numbered page costs all rows before it, so it must lie within the first
+    ``PAGED_ROWS`` rows; ``page_after`` goes to any depth.
     """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
+    if page * size > PAGED_ROWS:
+        raise ValueError(f"pages end at row {PAGED_ROWS}; use page_after beyond")
     return matched.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
-def share_by(matched: DataFrame, category: Column) -> DataFrame:
-    """Row count and percentage per category.
+def page_after(
+    matched: DataFrame, after: tuple | None, size: int,
+    order: tuple[str, ...] = ("order_detail_id",),
+) -> DataFrame:
+    """The page that follows the row with the order values ``after``.
 
-    The unpartitioned window runs over the categories, not over the rows.
+    ``order`` must tell rows apart.  Each task keeps ``size`` rows, however
+    deep the page lies.
     """
-    counts = matched.groupBy(category.alias("name")).agg(F.count("*").alias("value"))
+    if size < 1:
+        raise ValueError("size starts at 1")
+    if after is not None:
+        beyond = F.lit(False)
+        for column, value in reversed(list(zip(order, after, strict=True))):
+            beyond = (F.col(column) > F.lit(value)) | ((F.col(column) == F.lit(value)) & beyond)
+        matched = matched.where(beyond)
+    return matched.orderBy(*order).limit(size)
+
+
+def share_by(matched: DataFrame, category: Column, weight: str | None = None) -> DataFrame:
+    """Row count and percentage per category; ``weight`` counts rows already summed.
+
+    The percentages come from totals per category, not from rows.
+    """
+    n = F.sum(weight) if weight else F.count("*")
+    counts = matched.groupBy(category.alias("name")).agg(n.alias("value"))
     everything = F.sum("value").over(Window.partitionBy())
     return counts.withColumn(
         "share", F.round(F.col("value") * F.lit(100.0) / everything, 2)
     )
 
 
+def per_buyer(matched: DataFrame, users: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Sales per buyer with the buyer's columns: one row ``user_id, n`` each."""
+    counts = matched.groupBy("user_id").agg(F.count("*").alias("n"))
+    return with_buyers(counts, users, as_of)
+
+
 # The age labels of the dashboard.
 AGE_UNDER_20 = "20岁以下"
 AGE_20_TO_30 = "20-30岁"
@@ -63,12 +95,12 @@ def age_group(age: str) -> Column:
     )
 
 
-def gender_share(matched: DataFrame) -> DataFrame:
-    return share_by(matched, F.col("user_gender"))
+def gender_share(matched: DataFrame, weight: str | None = None) -> DataFrame:
+    return share_by(matched, F.col("user_gender"), weight)
 
 
-def age_share(matched: DataFrame) -> DataFrame:
-    return share_by(matched, age_group("user_age"))
+def age_share(matched: DataFrame, weight: str | None = None) -> DataFrame:
+    return share_by(matched, age_group("user_age"), weight)
 
 
 def region_volume(orders: DataFrame, region: str, amount: str) -> DataFrame:
@@ -89,3 +121,29 @@ def search_sales(
         "gender": gender_share(matched),
         "age": age_share(matched),
     }
+
+
+def search_answer(answer: dict[str, DataFrame]) -> DataFrame:
+    """The four parts of a search as one JSON object: total, stat, detail.
+
+    Each part has few rows by then: one, the categories, and one page.
+    """
+
+    def part(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(name).alias("part"), F.to_json(F.struct(*rows.columns)).alias("row"))
+
+    parts = part("total", answer["total"])
+    for name in ("gender", "age", "detail"):
+        parts = parts.unionByName(part(name, answer[name]))
+
+    def rows_of(name: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("part") == name, F.col("row"))))
+
+    def listed(name: str) -> Column:
+        return F.concat(F.lit("["), F.array_join(rows_of(name), ","), F.lit("]"))
+
+    total = F.max(F.when(F.col("part") == "total", F.get_json_object("row", "$.total")))
+    return parts.agg(F.concat(
+        F.lit('{"total":'), total, F.lit(',"stat":{"gender":'), listed("gender"),
+        F.lit(',"age":'), listed("age"), F.lit('},"detail":'), listed("detail"), F.lit("}"),
+    ).alias("value"))

@@ -62,12 +62,22 @@ def dau_compare(spark, sf_dir):
     log = inputs.activity_log(spark, sf_dir).where(
         times.in_days("ts", times.previous_day(DAY), 2)
     )
-    hours = activity.active_by_hour(log, "user_id", "ts").toDF("day", "hour", "value")
-    return kpis.fill_hours(kpis.compare_days(hours, DAY))
+    devices = activity.first_touch(log, "user_id", "ts").select(
+        F.date_format("day", "yyyy-MM-dd").alias("logDate"),
+        F.date_format("first_ts", "HH").alias("logHour"),
+    )
+    return kpis.fill_hours(kpis.hourly_metric("dau", DAY, devices, devices))
 
 
 def amount_compare(spark, sf_dir):
-    return kpis.fill_hours(kpis.compare_days(_purchase_hours(spark, sf_dir, True), DAY))
+    bought = inputs.table(spark, sf_dir, "events").where(
+        (F.col("event_type") == "purchase")
+        & times.in_days("ts", times.previous_day(DAY), 2)
+    ).select(
+        F.date_format("ts", "yyyy-MM-dd").alias("create_date"),
+        F.date_format("ts", "HH").alias("create_hour"), F.col("value").alias("total_amount"),
+    )
+    return kpis.fill_hours(kpis.hourly_metric("order_amount", DAY, bought, bought))
 
 
 def new_devices(spark, sf_dir):
@@ -105,23 +115,14 @@ def gmv_total(spark, sf_dir):
     ).select(F.date_format("day", "yyyy-MM-dd").alias("create_date"), "amount")
 
 
-def _purchase_hours(spark, sf_dir, two_days: bool) -> DataFrame:
+def gmv_hourly(spark, sf_dir):
     rows = inputs.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
-    if two_days:
-        rows = rows.where(times.in_days("ts", times.previous_day(DAY), 2))
     hours = order_ops.amount_by(
         rows, [F.to_date("ts").alias("d"), F.hour("ts").alias("h")], "value"
     )
     return hours.select(
-        F.date_format("d", "yyyy-MM-dd").alias("day"),
-        F.format_string("%02d", "h").alias("hour"),
-        F.col("amount").alias("value"),
-    )
-
-
-def gmv_hourly(spark, sf_dir):
-    return _purchase_hours(spark, sf_dir, False).toDF(
-        "create_date", "create_hour", "amount"
+        F.date_format("d", "yyyy-MM-dd").alias("create_date"),
+        F.format_string("%02d", "h").alias("create_hour"), "amount",
     )
 
 
@@ -132,10 +133,9 @@ def phone_mask(spark, sf_dir):
 
 
 def sale_detail(spark, sf_dir):
-    joined = sales.join_details(
-        inputs.orders(spark, sf_dir), inputs.details(spark, sf_dir)
-    )
-    return sales.enrich_users(joined, inputs.users(spark, sf_dir), AS_OF)
+    """The buyer joins the order, so the details are shuffled once."""
+    orders = sales.with_buyers(inputs.orders(spark, sf_dir), inputs.users(spark, sf_dir), AS_OF)
+    return sales.join_details(orders, inputs.details(spark, sf_dir)).select(*sales.SALE_ORDER)
 
 
 def sale_detail_ttl(spark, sf_dir):
@@ -167,15 +167,15 @@ def latest_user(spark, sf_dir):
 
 
 def enrich_left(spark, sf_dir):
-    """Only one segment's buyers are known; the others get the defaults."""
+    """Every seventh order names a buyer that does not exist and gets the defaults."""
+    buyer = F.when(F.pmod("id", F.lit(7)) == 0, -F.col("user_id")).otherwise(F.col("user_id"))
     rows = inputs.orders(spark, sf_dir).select(
         F.col("id").alias("order_detail_id"), F.col("id").alias("order_id"),
-        "order_status", "create_time", "user_id", F.col("id").alias("sku_id"),
+        "order_status", "create_time", buyer.alias("user_id"), F.col("id").alias("sku_id"),
         F.col("total_amount").alias("sku_price"),
         F.col("order_status").alias("sku_name"), F.col("create_date").alias("dt"),
     )
-    known = inputs.users(spark, sf_dir).where(F.col("gender") == "BUILDING")
-    return sales.enrich_users(rows, known, AS_OF).select(
+    return sales.enrich_users(rows, inputs.users(spark, sf_dir), AS_OF).select(
         "order_id", "user_id", "user_gender", "user_age", "user_level", "dt"
     )
 
@@ -309,16 +309,20 @@ def log_route(spark, sf_dir):
         F.count("key").alias("keyed"),
         F.min(stamped).alias("min_ts"),
         F.max(stamped).alias("max_ts"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
     )
 
 
 def _change_entries(spark, sf_dir) -> DataFrame:
-    """Orders, details and customers as change-feed entries."""
+    """Orders, details and customers as change-feed entries, and suppliers as
+    the users of another database."""
 
-    def entry(df, name, event_type, entry_type, **after):
+    def entry(df, name, event_type, entry_type, database=DATABASE, **after):
         pairs = [item for k, v in after.items() for item in (F.lit(k), v)]
         return df.select(
-            entry_type.alias("entry_type"), F.lit(name).alias("table_name"),
+            entry_type.alias("entry_type"), F.lit(database).alias("database_name"),
+            F.lit(name).alias("table_name"),
             event_type.alias("event_type"),
             F.array(F.struct(F.create_map(*pairs).alias("after"))).alias("row_datas"),
         )
@@ -354,11 +358,17 @@ def _change_entries(spark, sf_dir) -> DataFrame:
         inputs.table(spark, sf_dir, "part"), "sku_info", F.lit("INSERT"), row_data,
         id=F.col("p_partkey").cast("string"),
     )
-    return orders.unionByName(details).unionByName(users).unionByName(parts)
+    others = entry(
+        inputs.table(spark, sf_dir, "supplier"), "user_info", F.lit("INSERT"), row_data,
+        database="archive", id=F.col("s_suppkey").cast("string"),
+    )
+    return (
+        orders.unionByName(details).unionByName(users).unionByName(parts).unionByName(others)
+    )
 
 
 def cdc_route(spark, sf_dir):
-    return routing.route_changes(change_rows(_change_entries(spark, sf_dir)))
+    return routing.route_changes(change_rows(_change_entries(spark, sf_dir), DATABASE))
 
 
 def kpi_cards(spark, sf_dir):
@@ -380,9 +390,12 @@ def kpi_cards(spark, sf_dir):
     return kpis.kpi_cards(active, fresh, amount)
 
 
+DATABASE = "shop"
 KEYWORD = "Widget"
 SEARCH_DAY = "1998-10-03"
 PAGE, PAGE_SIZE = 2, 25
+DEEP_AFTER = ("5", 0.0)
+PAGE_ORDER = ("order_detail_id", "sku_price")
 
 
 def _named_sales(spark, sf_dir) -> DataFrame:
@@ -391,46 +404,50 @@ def _named_sales(spark, sf_dir) -> DataFrame:
     )
 
 
-def _matched_details(spark, sf_dir) -> DataFrame:
-    """Searched sale rows with their buyers."""
-    return sales.enrich_users(
-        search.match_sales(_named_sales(spark, sf_dir), keyword=KEYWORD),
-        inputs.users(spark, sf_dir), AS_OF,
-    )
+def _matched_sales(spark, sf_dir) -> DataFrame:
+    return search.match_sales(_named_sales(spark, sf_dir), keyword=KEYWORD)
+
+
+def _page_with_buyers(spark, sf_dir, page: DataFrame) -> DataFrame:
+    """The order of a page uses no buyer column: only its rows meet the users."""
+    return sales.enrich_users(page, inputs.users(spark, sf_dir), AS_OF).orderBy(*PAGE_ORDER)
 
 
 def sale_search(spark, sf_dir):
-    return search.page_rows(
-        _matched_details(spark, sf_dir), PAGE, PAGE_SIZE,
-        ("order_detail_id", "sku_price"),
-    )
+    page = search.page_rows(_matched_sales(spark, sf_dir), PAGE, PAGE_SIZE, PAGE_ORDER)
+    return _page_with_buyers(spark, sf_dir, page)
+
+
+def sale_search_deep(spark, sf_dir):
+    """The page after a given row, somewhere in the middle of the result."""
+    page = search.page_after(_matched_sales(spark, sf_dir), DEEP_AFTER, PAGE_SIZE, PAGE_ORDER)
+    return _page_with_buyers(spark, sf_dir, page)
 
 
 def sale_search_day(spark, sf_dir):
+    """All sales of a day."""
     orders = inputs.table(spark, sf_dir, "orders").where(
         times.in_days("o_orderdate", SEARCH_DAY)
     ).select(*inputs.order_columns())
-    rows = sales.enrich_users(
-        sales.join_details(orders, inputs.named_details(spark, sf_dir)),
-        inputs.users(spark, sf_dir), AS_OF,
-    )
-    return search.page_rows(
-        search.match_sales(rows), 1, 1000, ("order_detail_id", "sku_price")
-    )
+    orders = sales.with_buyers(orders, inputs.users(spark, sf_dir), AS_OF)
+    rows = sales.join_details(orders, inputs.named_details(spark, sf_dir))
+    return search.match_sales(rows).select(*sales.SALE_ORDER)
 
 
 def sale_search_total(spark, sf_dir):
-    return search.total_rows(
-        search.match_sales(_named_sales(spark, sf_dir), keyword=KEYWORD)
-    )
+    return search.total_rows(_matched_sales(spark, sf_dir))
+
+
+def _matched_buyers(spark, sf_dir) -> DataFrame:
+    return search.per_buyer(_matched_sales(spark, sf_dir), inputs.users(spark, sf_dir), AS_OF)
 
 
 def gender_share(spark, sf_dir):
-    return search.gender_share(_matched_details(spark, sf_dir))
+    return search.gender_share(_matched_buyers(spark, sf_dir), "n")
 
 
 def age_share(spark, sf_dir):
-    return search.age_share(_matched_details(spark, sf_dir))
+    return search.age_share(_matched_buyers(spark, sf_dir), "n")
 
 
 def region_volume(spark, sf_dir):
@@ -442,7 +459,7 @@ def region_volume(spark, sf_dir):
     per_buyer = (
         inputs.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
             F.count("*").alias("n"),
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("amount"),
+            F.try_sum(order_ops.exact_amount("o_totalprice")).alias("amount"),
         )
     )
     buyers = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -450,7 +467,7 @@ def region_volume(spark, sf_dir):
     per_nation = (
         per_buyer.join(buyers, per_buyer.o_custkey == buyers.c_custkey)
         .groupBy("c_nationkey")
-        .agg(F.sum("n").alias("orders"), F.sum("amount").cast("double").alias("amount"))
+        .agg(F.sum("n").alias("orders"), order_ops.rounded(F.try_sum("amount")).alias("amount"))
     )
     return per_nation.join(nations, per_nation.c_nationkey == nations.n_nationkey).select(
         F.col("n_name").alias("region"), "orders", "amount"
@@ -472,7 +489,7 @@ QUERIES = {
         latest_user, enrich_left, coupon_alert, coupon_alert_fine, alert_members,
         alert_documents, event_parse, startup_parse, order_parse, detail_parse,
         user_parse, quarantine_split, log_route, cdc_route, kpi_cards, sale_search,
-        sale_search_day, sale_search_total, gender_share, age_share, region_volume,
+        sale_search_deep, sale_search_day, sale_search_total, gender_share, age_share, region_volume,
         order_volume,
     )
 }

@@ -18,7 +18,8 @@ def _hour(column: str) -> str:
     return f"strftime({column}, '%H')"
 
 
-_MONEY = "cast(sum(cast({0} as decimal(18,2))) as double)"
+# Doubles added with compensation, rounded once.
+_MONEY = "round(fsum({0}), 6)"
 
 _DATED = f"""
   select user_id, event_id, event_type, ts,
@@ -288,11 +289,11 @@ ORACLES = {
         qualify row_number() over (partition by user_id
                                    order by ts desc, event_id desc) = 1""",
     "enrich_left": f"""
+        with o as (
+            select * replace (if(id % 7 = 0, -user_id, user_id) as user_id) from ({_ORDERS}) a)
         select o.id as order_id, o.user_id, u.user_gender,
                coalesce(u.age, 0) as user_age, u.user_level, o.dt
-        from ({_ORDERS}) o
-        left join (select * from ({_USERS}) a where user_gender = 'BUILDING') u
-          on o.user_id = u.user_id""",
+        from o left join ({_USERS}) u on o.user_id = u.user_id""",
     "coupon_alert": _alerts(batch.DAY_RULE),
     "coupon_alert_fine": _alerts(batch.FINE_RULE),
     "alert_members": _members(batch.DAY_RULE),
@@ -327,11 +328,19 @@ ORACLES = {
                count(case when event_type <> 'error' then 1 end) as with_device
         from events group by 1""",
     "log_route": f"""
+        with stamped as (
+            select event_type, json_extract_string(props, '$.k') as mid,
+                   '{{"evid":"' || event_type || '","itemid":' || cast(floor(value) as integer)
+                   || coalesce(',"mid":"' || json_extract_string(props, '$.k') || '"', '')
+                   || ',"type":"' || if(event_type = 'signup', 'startup', 'event')
+                   || '","uid":"' || user_id || '","ts":{batch.CLOCK_MS}}}' as value
+            from events)
         select case when event_type = 'signup' then 'startup_log' else 'event_log' end as topic,
-               count(*) as records, count(json_extract_string(props, '$.k')) as keyed,
+               count(*) as records, count(mid) as keyed,
                cast({batch.CLOCK_MS} as bigint) as min_ts,
-               cast({batch.CLOCK_MS} as bigint) as max_ts
-        from events group by 1""",
+               cast({batch.CLOCK_MS} as bigint) as max_ts,
+               min(value) as min_value, max(value) as max_value
+        from stamped group by 1""",
     "cdc_route": _CDC,
     "kpi_cards": f"""
         select 'dau' as id, '新增日活' as name,
@@ -349,7 +358,11 @@ ORACLES = {
         limit {batch.PAGE_SIZE} offset {(batch.PAGE - 1) * batch.PAGE_SIZE}""",
     "sale_search_day": f"""
         select * from ({_with_users(_sales(_NAMED_DETAILS))}) m
-        where dt = '{batch.SEARCH_DAY}' order by order_detail_id, sku_price limit 1000""",
+        where dt = '{batch.SEARCH_DAY}'""",
+    "sale_search_deep": f"""
+        select * from ({_MATCHED}) m
+        where (order_detail_id, sku_price) > ('{batch.DEEP_AFTER[0]}', {batch.DEEP_AFTER[1]})
+        order by order_detail_id, sku_price limit {batch.PAGE_SIZE}""",
     "sale_search_total": f"select count(*) as total from ({_MATCHED}) m",
     "gender_share": _share("user_gender"),
     "age_share": _share(

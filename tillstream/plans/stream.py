@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tillstream.functions import times
 from tillstream.plans import batch, inputs
-from tillstream.session import checkpoint_root
-from tillstream.sources.tables import read_latest, read_table
+from tillstream.session import checkpoint_root, remove_at_exit
+from tillstream.sources.tables import BATCH, WRITER, WRITTEN, read_latest, read_table
 from tillstream.streaming import jobs
 from tillstream.streaming.alerts import coupon_alert_stream
 from tillstream.streaming.dedup import first_seen_stream
@@ -37,6 +37,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _store(rows: DataFrame, name: str, mode: str = "append") -> str:
     """Run the stream to its end; the folder of its output."""
     place = f"{checkpoint_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    remove_at_exit(rows.sparkSession, place)
     query = jobs.start(
         rows, f"{name}-{uuid.uuid4().hex}", jobs.table_writer(f"{place}/table"),
         mode=mode, trigger=jobs.ALL_AVAILABLE, checkpoint=f"{place}/checkpoint",
@@ -65,7 +66,7 @@ def stream_sale_detail(spark, sf_dir):
     sales = join_streams(
         orders, details, ttl="100 days", lateness="4000 days", drop_copies=False
     )
-    return read_table(spark, _store(sales, "sales"), sales.schema).drop("batch_id")
+    return read_table(spark, _store(sales, "sales"), sales.schema).drop(WRITTEN, WRITER, BATCH)
 
 
 def stream_latest_user(spark, sf_dir):
@@ -82,7 +83,7 @@ def stream_coupon_alert(spark, sf_dir):
     alerts = coupon_alert_stream(
         events, batch.DAY_RULE, lateness=f"{LATENESS_HOURS} hours"
     )
-    return read_table(spark, _store(alerts, "alerts"), alerts.schema).drop("batch_id")
+    return read_table(spark, _store(alerts, "alerts"), alerts.schema).drop(WRITTEN, WRITER, BATCH)
 
 
 QUERIES = {

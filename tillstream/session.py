@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 
 from pyspark.sql import SparkSession
 
@@ -14,8 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Deep result pages use the range-partitioned sort instead of per-task heaps.
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # A repeated key of a JSON log counts with its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -38,11 +38,28 @@ def build_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for stream checkpoints and staged tables.
 
-    Taken from ``spark.checkpoint.dir``; only when that is unset (tests on one
-    machine) a fresh local folder is made and recorded in the session.
+    Taken from ``spark.checkpoint.dir``, else a folder in the session's own
+    storage (``spark.sql.warehouse.dir``), which a cluster shares as well.  No
+    folder of one machine is ever made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tillstream-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    storage = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not storage:
+        raise ValueError("set spark.checkpoint.dir to a folder all machines share")
+    return f"{storage.rstrip('/')}/_streams"
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder when the driver's Python ends."""
+
+    def remove() -> None:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # the session has ended; the folder belongs to the cluster then
+            return
+
+    atexit.register(remove)

@@ -15,11 +15,14 @@ def parse_entries(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(F.from_json(value, CHANGE_ENTRY).alias("e")).select("e.*")
 
 
-def change_rows(entries: DataFrame) -> DataFrame:
+def change_rows(entries: DataFrame, database: str | None = None) -> DataFrame:
     """``table_name, event_type, after``: one row per changed row.
 
-    Entries other than row data (transaction marks) are dropped.
+    Entries other than row data (transaction marks) are dropped, and with
+    ``database`` those of other databases, whatever their tables are called.
     """
+    if database is not None:
+        entries = entries.where(F.col("database_name") == database)
     return (
         entries.where(F.col("entry_type") == ROW_DATA)
         .select("table_name", "event_type", F.explode("row_datas.after").alias("after"))

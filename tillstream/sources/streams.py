@@ -37,10 +37,17 @@ def kafka_stream(
 def file_stream(
     spark: SparkSession, path: str, options: dict[str, str] | None = None
 ) -> DataFrame:
-    """JSON-lines files as they arrive; arrival time is the file's."""
+    """JSON-lines files as they arrive; arrival time is the file's.
+
+    ``file_block`` is where the read block begins in its file.
+    """
     return (
         spark.readStream.format("text").options(**(options or {})).load(path)
-        .select("value", F.col("_metadata.file_modification_time").alias("ingest_time"))
+        .select(
+            "value",
+            F.col("_metadata.file_modification_time").alias("ingest_time"),
+            F.col("_metadata.file_block_start").alias("file_block"),
+        )
     )
 
 

@@ -1,13 +1,15 @@
 """Stored tables: dated append tables and last-write-wins tables.
 
-A table is a Parquet folder partitioned by its own columns and ``batch_id``.
-A batch only ever replaces its own ``batch_id`` partitions, so a replayed
-batch leaves the table as if it had run once, and nothing that is being read
-is overwritten.
+A table is a Parquet folder partitioned by its own columns, ``writer`` and
+``batch_id``.  The writer is the id that a streaming query keeps in its
+checkpoint, so a batch only ever replaces its own earlier try: a query with a
+new checkpoint, or a second job that shares the folder, adds.  Nothing that is
+being read is overwritten.  ``roll_up`` folds many small batches into one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +18,37 @@ from pyspark.sql import types as T
 
 from tillstream.operators.dedup import latest_record
 
-BATCH = "batch_id"
+WRITER, BATCH, WRITTEN = "writer", "batch_id", "written_at"
+OWN = [T.StructField(WRITTEN, T.TimestampType()), T.StructField(WRITER, T.StringType()),
+       T.StructField(BATCH, T.LongType())]
+
+
+def writer_id(batch: DataFrame) -> str:
+    """Id of the streaming query that runs this batch.
+
+    It is stored in the query's checkpoint.  Outside of a stream every write is
+    a writer of its own.
+    """
+    own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return own or uuid.uuid4().hex
 
 
 def write_batch(
-    batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()
+    batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (),
+    writer: str | None = None,
 ) -> None:
-    """Write one batch, replacing an earlier try of the same batch.
+    """Write one batch, replacing an earlier try of the same writer and batch.
 
     The rebalance hint gives adaptive execution the say over file sizes: small
     batches become few files, a day that holds everything is still split.
     """
-    layout = [*partition_by, BATCH]
+    layout = [*partition_by, WRITER, BATCH]
     (
-        batch.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        batch.withColumns({
+            WRITTEN: F.current_timestamp(),
+            WRITER: F.lit(writer or writer_id(batch)),
+            BATCH: F.lit(batch_id).cast("bigint"),
+        })
         .hint("rebalance", *partition_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -50,7 +69,7 @@ def read_table(
     reader = spark.read
     if schema is not None:
         reader = reader.schema(T.StructType(
-            [*schema.fields, T.StructField(BATCH, T.LongType())]
+            [*schema.fields, *OWN]
         ))
     table = reader.parquet(path)
     written = {f.name: f.dataType for f in schema} if schema is not None else {}
@@ -64,24 +83,34 @@ def read_latest(
     spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = (),
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Last written row per key, over all batches."""
-    rows = latest_record(read_table(spark, path, schema), keys, [BATCH, *order])
-    return rows.drop(BATCH)
+    """Last written row per key, over all batches of all writers.
+
+    ``order`` comes first (a sequence of the feed), then the time of writing.
+    With a partition column among the keys (the day of an order) a filter on
+    it reaches the scan, so only its partitions are read.
+    """
+    rows = latest_record(read_table(spark, path, schema), keys, [*order, WRITTEN, BATCH])
+    return rows.drop(WRITTEN, WRITER, BATCH)
 
 
-def compact(
-    spark: SparkSession, path: str, new_path: str, keys: Sequence[str],
+def roll_up(
+    spark: SparkSession, path: str, new_path: str, keys: Sequence[str] = (),
     order: Sequence[str] = (), partition_by: Sequence[str] = (),
 ) -> None:
-    """Write the current rows of a last-write-wins table to a new folder.
+    """Write a table anew as one batch, so that the number of folders does not
+    grow with the number of batches.
 
-    The result is an ordinary table with one row per key; the caller points
-    its readers there.  Its batch id is the highest one it includes.
+    With ``keys`` only the current row of each key is kept, without them every
+    row.  Rows keep the time they were written; the caller points readers and
+    writers to the new folder.
     """
-    rows = latest_record(read_table(spark, path), keys, [BATCH, *order])
+    rows = read_table(spark, path)
+    if keys:
+        rows = latest_record(rows, keys, [*order, WRITTEN, BATCH])
     (
-        rows.hint("rebalance", *partition_by)
+        rows.withColumns({WRITER: F.lit("roll-up"), BATCH: F.lit(0).cast("bigint")})
+        .hint("rebalance", *partition_by)
         .write.mode("errorifexists")
-        .partitionBy(*partition_by, BATCH)
+        .partitionBy(*partition_by, WRITER, BATCH)
         .parquet(new_path)
     )

@@ -100,21 +100,41 @@ def quarantine_job(
     return start(bad, name, table_writer(path), **run)
 
 
+def parse_logs(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """App logs; a line without device or with a time outside all years is bad."""
+    parsed = records.parse_lines(lines, schema, ("mid", "ts"))
+    return records.flag(parsed, ~times.usable_millis("ts"))
+
+
+def quarantine_beside(
+    parsed: DataFrame, path: str | None, name: str, run: dict
+) -> StreamingQuery | None:
+    """A second query for the bad lines of a feed whose good rows keep state.
+
+    It reads the feed with a checkpoint of its own, beside the main one.
+    """
+    if not path:
+        return None
+    own = {**run, "checkpoint": f"{run['checkpoint']}-bad" if run.get("checkpoint") else None}
+    return start(records.bad_rows(parsed), f"{name}_bad", table_writer(path), **own)
+
+
 def startup_rows(lines: DataFrame) -> DataFrame:
     """Good startup logs with date, hour and event time."""
-    parsed = records.parse_lines(lines, schemas.STARTUP_LOG, ("mid", "ts"))
-    rows = records.good_rows(parsed).withColumn("event_time", times.from_millis("ts"))
+    rows = records.good_rows(parse_logs(lines, schemas.STARTUP_LOG)).withColumn("event_time", times.from_millis("ts"))
     return times.with_log_time(rows, F.col("event_time"))
 
 
 def active_device_job(
     lines: DataFrame, path: str, keep: str = "2 days", upper: bool = False,
-    name: str = "active_devices", **run,
+    quarantine: str | None = None, name: str = "active_devices", **run,
 ) -> StreamingQuery:
     """Startup logs to the table of first starts per device and day.
 
-    ``upper`` stores the columns under upper-case names.
+    ``upper`` stores the columns under upper-case names.  With ``quarantine`` a
+    second query, ``<name>_bad``, stores the bad lines.
     """
+    quarantine_beside(parse_logs(lines, schemas.STARTUP_LOG), quarantine, name, run)
     rows = counted(startup_rows(lines), "startup_records")
     rows = rows.select(*schemas.DAU_COLUMNS, "event_time")
     first = counted(
@@ -149,16 +169,26 @@ def user_job(
 ) -> StreamingQuery:
     """User inserts and updates to the user table; the last write wins.
 
-    Within a batch the arrival order is the ``seq`` column: the Kafka offset
-    (updates of one user share a partition) or the file time.
+    The order of arrival is the ``seq`` column, an array: the Kafka offset
+    (updates of one user share a partition), or the file's time, block and line.
+    Read the table with ``read_latest(..., ["id"], ["seq"])``.
     """
-    seq = "offset" if "offset" in lines.columns else "ingest_time"
-    parsed = records.parse_lines(lines, schemas.USER_INFO, ("id",)).withColumn(
-        "seq", F.col(seq).cast("bigint")
-    )
+    if "offset" in lines.columns:
+        seq = F.array(F.col("offset").cast("bigint"))
+    else:
+        # Lines of a block keep their order in a batch's partition.
+        seq = F.array(F.unix_micros("ingest_time"), F.col("file_block").cast("bigint"),
+                      F.monotonically_increasing_id())
     names = [f.name for f in schemas.USER_INFO]
-    rows = parsed.select(*names, "seq", records.BAD, records.RAW)
-    return start(rows, name, _with_quarantine(table_writer(path), quarantine), **run)
+    place = [c for c in ("offset", "ingest_time", "file_block") if c in lines.columns]
+    parsed = records.parse_lines(lines, schemas.USER_INFO, ("id",)).select(
+        *names, *place, records.BAD, records.RAW)
+    store = table_writer(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(batch.withColumn("seq", seq).drop(*place), batch_id)
+
+    return start(parsed, name, _with_quarantine(write, quarantine), **run)
 
 
 def sale_job(
@@ -169,18 +199,23 @@ def sale_job(
     as_of: str | None = None,
     ttl: str = "100 seconds",
     lateness: str = "10 seconds",
-    salts: int = 8,
+    salts: int = 1,
+    quarantine: str | None = None,
     name: str = "sales",
     **run,
 ) -> StreamingQuery:
     """Join both feeds by arrival time, add the buyer, store by day.
 
-    ``users`` is called per batch, so updates of the user table are seen.
+    ``users`` is called per batch, so updates of the user table are seen.  With
+    ``quarantine`` second queries store the bad lines of both feeds.
     """
     orders = prepare_orders(
         records.parse_lines(order_lines, schemas.ORDER_INFO, ("id", "create_time"))
     )
     details = records.parse_lines(detail_lines, schemas.ORDER_DETAIL, ("id", "order_id"))
+    for feed, parsed in (("orders", orders), ("details", details)):
+        quarantine_beside(parsed, quarantine, f"{name}_{feed}", {
+            **run, "checkpoint": f"{run['checkpoint']}-{feed}" if run.get("checkpoint") else None})
     sales = join_streams(
         records.good_rows(orders).withColumnRenamed("ingest_time", "order_time"),
         records.good_rows(details).withColumnRenamed("ingest_time", "detail_time"),
@@ -195,46 +230,74 @@ def sale_job(
 
 def event_rows(lines: DataFrame) -> DataFrame:
     """Good event logs with date, hour and event time."""
-    parsed = records.parse_lines(lines, schemas.EVENT_LOG, ("mid", "ts"))
-    rows = records.good_rows(parsed).withColumn("event_time", times.from_millis("ts"))
+    rows = records.good_rows(parse_logs(lines, schemas.EVENT_LOG)).withColumn("event_time", times.from_millis("ts"))
     return times.with_log_time(rows, F.col("event_time"))
 
 
 def alert_job(
     lines: DataFrame, path: str, rule: AlertRule = AlertRule(),
-    lateness: str = "10 seconds", name: str = "coupon_alerts", **run,
+    lateness: str = "10 seconds", quarantine: str | None = None,
+    name: str = "coupon_alerts", **run,
 ) -> StreamingQuery:
-    """Event logs to the alert table (key ``doc_id``, one partition per day)."""
+    """Event logs to the alert table (key ``doc_id``, one partition per day).
+
+    With ``quarantine`` a second query, ``<name>_bad``, stores the bad lines.
+    """
+    quarantine_beside(parse_logs(lines, schemas.EVENT_LOG), quarantine, name, run)
     alerts = coupon_alert_stream(event_rows(lines), rule, lateness)
     return start(alerts, name, table_writer(path, ["alert_date"]), **run)
 
 
-def _topic_writer(kafka: dict[str, str] | None, path: str | None) -> BatchWriter:
+def _topic_writer(
+    kafka: dict[str, str] | None, path: str | None, quarantine: str | None
+) -> BatchWriter:
+    """Routed rows to their topics, lines without a topic to the quarantine."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        if kafka:
-            batch.write.format("kafka").options(**kafka).save()
-        else:
-            write_batch(batch, path, batch_id, ["topic"])
+        batch.persist()
+        try:
+            routed = batch.where(F.col("topic").isNotNull())
+            if kafka:
+                routed.write.format("kafka").options(**kafka).save()
+            else:
+                write_batch(routed, path, batch_id, ["topic"])
+            if quarantine:
+                lost = batch.where(F.col("topic").isNull()).select("value")
+                write_batch(lost, quarantine, batch_id)
+        finally:
+            batch.unpersist()
 
     return write
 
 
 def log_router_job(
     lines: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None,
-    topics: Topics = Topics(), name: str = "log_router", **run,
+    topics: Topics = Topics(), quarantine: str | None = None, name: str = "log_router", **run,
 ) -> StreamingQuery:
-    """Stamp and route raw logs, to Kafka or to a folder per topic."""
-    routed = route_logs(lines, topics=topics).where(F.col("topic").isNotNull())
-    return start(routed, name, _topic_writer(kafka, path), **run)
+    """Stamp and route raw logs, to Kafka or to a folder per topic; lines that
+    are not JSON objects go to ``quarantine``."""
+    routed = route_logs(lines, topics=topics)
+    return start(routed, name, _topic_writer(kafka, path, quarantine), **run)
 
 
 def change_router_job(
     lines: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None,
-    topics: Topics = Topics(), name: str = "change_router", **run,
+    topics: Topics = Topics(), database: str | None = None, quarantine: str | None = None,
+    name: str = "change_router", **run,
 ) -> StreamingQuery:
-    """Route database changes, to Kafka or to a folder per topic."""
-    routed = route_changes(change_rows(parse_entries(lines)), topics)
-    return start(routed, name, _topic_writer(kafka, path), **run)
+    """Route database changes, to Kafka or to a folder per topic.
+
+    With ``database`` only its tables count; lines that are not change entries
+    go to ``quarantine``.
+    """
+    entry = F.from_json("value", schemas.CHANGE_ENTRY)
+    parsed = lines.select("value", (
+        entry.isNull() | entry["entry_type"].isNull()).alias("_lost"))
+    routed = route_changes(
+        change_rows(parse_entries(parsed.where(~F.col("_lost"))), database), topics)
+    lost = parsed.where(F.col("_lost")).select(
+        F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("key"), "value")
+    return start(routed.unionByName(lost), name, _topic_writer(kafka, path, quarantine), **run)
 
 
 def console_job(rows: DataFrame, n: int, name: str = "console", **run) -> StreamingQuery:

@@ -15,21 +15,23 @@ def join_streams(
     detail_time: str = "detail_time",
     ttl: str = "100 seconds",
     lateness: str = "10 seconds",
-    salts: int = 8,
+    salts: int = 1,
     drop_copies: bool = True,
 ) -> DataFrame:
     """Pairs of order and detail that arrive within ``ttl``, in either order.
 
     Both sides leave the state once no partner can come any more.  Adaptive
-    execution does not reach stateful joins, so the key is salted: an order is
-    held ``salts`` times and each detail meets exactly one of the copies, which
-    spreads an order with very many details over ``salts`` tasks.
+    execution does not reach stateful joins; where an order may have very many
+    details, ``salts`` holds each order that many times and spreads its details
+    over as many tasks.
 
-    ``drop_copies`` removes details that the feed delivered twice.
+    ``drop_copies`` removes orders and details that a feed delivered twice
+    within the lateness, so a pair comes out once.
     """
-    left = orders.withWatermark(order_time, lateness).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    left = orders.withWatermark(order_time, lateness)
+    if drop_copies:
+        left = left.dropDuplicatesWithinWatermark(["id"])
+    left = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = details.withWatermark(detail_time, lateness)
     if drop_copies:
         right = right.dropDuplicatesWithinWatermark(["order_id", "id"])
