@@ -68,7 +68,7 @@ def main() -> int:
 
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
-    names = args[1:] or list(entry.queries())
+    names = args[1:] or [n for n in entry.queries() if n in entry.oracle_sql()]
     spark = build_session(
         master="local[8]",
         conf={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
