@@ -12,6 +12,7 @@ from tillstream.operators.routing import Topics
 from tillstream.sources.streams import file_stream, read_lines
 from tillstream.sources.tables import read_latest, read_table, roll_up, write_batch
 from tillstream.streaming import jobs
+from tillstream.streaming.alerts import read_alerts, read_members
 from tillstream.streaming.sales import join_streams
 
 ONE_FILE = {"maxFilesPerTrigger": "1"}
@@ -94,8 +95,13 @@ def test_alerts_stream(spark, feed, tmp_path):
     path = str(tmp_path / "alerts")
     run(jobs.alert_job, file_stream(spark, folder, ONE_FILE), path,
         lateness="60 seconds", name="alerts", tmp_path=tmp_path)
-    table = read_latest(spark, path, ["doc_id"])
+    table = read_alerts(spark, path)
     assert alert_keys(table) == g.ALERTS
+    events = jobs.event_rows(read_lines(spark, folder))
+    pieces = alerts.alert_pieces(events)
+    listed = alerts.alert_members(alerts.alerts_from(pieces), pieces)
+    assert sorted(map(tuple, read_members(spark, path).collect())) == sorted(
+        map(tuple, listed.collect()))
     assert {r.alert_date for r in table.collect()} == {"2021-01-11"}
 
 

@@ -59,9 +59,13 @@ def _div(value: Column, by: int) -> Column:
 
 
 def _steps(events: DataFrame, rule: AlertRule) -> DataFrame:
-    """Records with ``_at``: the end of the first window that holds them."""
+    """Records with ``_at``: the end of the first window that holds them.
+
+    Records without a device or a time belong to no alert and are left out.
+    """
     at = (_div(millis(rule.ts), rule.slide_ms) + 1) * rule.slide_ms
-    return events.select(
+    known = F.col(rule.device).isNotNull() & F.col(rule.ts).isNotNull()
+    return events.where(known).select(
         F.col(rule.device).cast("string").alias("mid"),
         F.col(rule.user).cast("string").alias("uid"),
         F.col(rule.item).cast("string").alias("itemid"),
@@ -83,13 +87,25 @@ def member_spans(events: DataFrame, rule: AlertRule) -> DataFrame:
     ))
     taken = (
         _steps(events.where(F.col(rule.event) == rule.coupon), rule)
-        .select("mid", F.timestamp_millis("_at").alias("at"), members)
+        .select("mid", F.col("_at").alias("at"), members)
         .where(F.col("member").isNotNull())
         .distinct()
     )
-    span = F.session_window("at", f"{rule.window_ms} milliseconds")
+    return merged_spans(taken, rule)
+
+
+def merged_spans(taken: DataFrame, rule: AlertRule) -> DataFrame:
+    """Coverage of ``mid, kind, member, at`` (steps in milliseconds), merged.
+
+    Coverage is cut at block borders before merging, so one group holds the
+    steps of one member in one block, however long the time range is.
+    """
+    spans = _in_blocks(
+        taken.withColumns({"start": F.col("at"), "end": F.col("at") + rule.window_ms}), rule)
+    gap = F.concat((F.col("end") - F.col("start")).cast("string"), F.lit(" milliseconds"))
+    span = F.session_window(F.timestamp_millis("start"), gap)
     return (
-        taken.groupBy("mid", "kind", "member", span.alias("span"))
+        spans.groupBy("mid", "kind", "member", "block", span.alias("span"))
         .agg(F.count("*").alias("steps"))
         .select(
             "mid", "kind", "member",
@@ -265,13 +281,14 @@ def alert_documents(
 ) -> DataFrame:
     """Alerts with their lists as arrays, cut into parts of about ``part_size``.
 
-    Almost every alert is one part.  One with very many users or items becomes
-    several rows (``part`` 0..``parts``-1) rather than unbounded arrays;
-    together they hold every member.
+    Almost every alert is one part.  One with very many users, items or event
+    ids becomes several rows (``part`` 0..``parts``-1) rather than unbounded
+    arrays; together they hold every member.  The key is ``(doc_id, part)``.
     """
-    parts = F.ceil((F.col("users") + F.col("items")) / F.lit(part_size)).cast("bigint")
-    heads = alerts.withColumn("parts", parts)
-    listed = _listed(heads, pieces, rule).withColumn(
+    listed = _listed(alerts, pieces, rule)
+    sizes = listed.groupBy("doc_id").agg(
+        F.ceil(F.count("*") / F.lit(part_size)).cast("bigint").alias("parts"))
+    listed = listed.join(sizes, "doc_id").withColumn(
         "part", F.pmod(F.xxhash64("kind", "member"), F.col("parts"))
     )
 
@@ -283,7 +300,7 @@ def alert_documents(
     repeats = F.when(
         F.col("kind") == "event", F.struct(F.col("member").alias("evid"), "n")
     )
-    return listed.groupBy(*heads.columns, "part").agg(
+    return listed.groupBy(*alerts.columns, "parts", "part").agg(
         pick("user").alias("uids"),
         pick("item").alias("itemIds"),
         F.sort_array(F.collect_list(repeats)).alias("event_counts"),

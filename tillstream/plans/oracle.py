@@ -157,10 +157,10 @@ def _alerts(rule, closed: str = "true") -> str:
     """
 
 
-def _members(rule) -> str:
+def _members(rule, closed: str = "true") -> str:
     return f"""
     with w as ({_windowed(rule)}),
-    a as ({_alerts(rule)}),
+    a as ({_alerts(rule, closed)}),
     hit as (select a.doc_id, a.alert_date, w.* from a
             join w on a.mid = w.mid and a.window_end = w.window_end)
     select doc_id, alert_date, 'user' as kind, uid as member, cast(1 as bigint) as n
@@ -383,9 +383,11 @@ ORACLES = {
 # A streamed alert is final once the watermark has passed every window of its
 # grain; alerts the stream may still revise are not emitted yet.
 _CLOSED = f"""
-  (window_end // {batch.DAY_RULE.grain_ms} + 1) * {batch.DAY_RULE.grain_ms}
-    - {batch.DAY_RULE.slide_ms}
-  <= (select epoch_us(max(ts)) // 1000 - {stream.LATENESS_HOURS} * 3600000 from events)
+  window_end <= (
+    select max((epoch_us(ts) // 1000 // {batch.DAY_RULE.slide_ms} + 1) * {batch.DAY_RULE.slide_ms})
+      filter ((epoch_us(ts) // 1000 // {batch.DAY_RULE.slide_ms} + 1) * {batch.DAY_RULE.slide_ms}
+        <= (select epoch_us(max(ts)) // 1000 - {stream.LATENESS_HOURS} * 3600000 from events))
+    from events)
 """
 
 ORACLES.update({
@@ -393,4 +395,5 @@ ORACLES.update({
     "stream_sale_detail": ORACLES["sale_detail_ttl"],
     "stream_latest_user": ORACLES["latest_user"],
     "stream_coupon_alert": _alerts(batch.DAY_RULE, _CLOSED),
+    "stream_alert_members": _members(batch.DAY_RULE, _CLOSED),
 })

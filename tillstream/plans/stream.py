@@ -17,7 +17,7 @@ from tillstream.plans import batch, inputs
 from tillstream.session import checkpoint_root, remove_at_exit
 from tillstream.sources.tables import BATCH, WRITER, WRITTEN, read_latest, read_table
 from tillstream.streaming import jobs
-from tillstream.streaming.alerts import coupon_alert_stream
+from tillstream.streaming.alerts import alert_writer, read_alerts, read_members, step_members
 from tillstream.streaming.dedup import first_seen_stream
 from tillstream.streaming.sales import join_streams
 
@@ -34,12 +34,13 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _store(rows: DataFrame, name: str, mode: str = "append") -> str:
+def _store(rows: DataFrame, name: str, mode: str = "append", writer=None) -> str:
     """Run the stream to its end; the folder of its output."""
     place = f"{checkpoint_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     remove_at_exit(rows.sparkSession, place)
     query = jobs.start(
-        rows, f"{name}-{uuid.uuid4().hex}", jobs.table_writer(f"{place}/table"),
+        rows, f"{name}-{uuid.uuid4().hex}",
+        (writer or jobs.table_writer)(f"{place}/table"),
         mode=mode, trigger=jobs.ALL_AVAILABLE, checkpoint=f"{place}/checkpoint",
     )
     query.awaitTermination()
@@ -78,17 +79,25 @@ def stream_latest_user(spark, sf_dir):
     return read_latest(spark, path, ["user_id"], ["ts_us", "event_id"], rows.schema)
 
 
-def stream_coupon_alert(spark, sf_dir):
+def _alert_tables(spark, sf_dir) -> str:
     events = table_stream(spark, sf_dir, "events").select(*inputs.coupon_columns())
-    alerts = coupon_alert_stream(
-        events, batch.DAY_RULE, lateness=f"{LATENESS_HOURS} hours"
-    )
-    return read_table(spark, _store(alerts, "alerts"), alerts.schema).drop(WRITTEN, WRITER, BATCH)
+    steps = step_members(events, batch.DAY_RULE, lateness=f"{LATENESS_HOURS} hours")
+    return _store(steps, "alerts", writer=lambda path: alert_writer(path, batch.DAY_RULE))
+
+
+def stream_coupon_alert(spark, sf_dir):
+    """Alerts of all windows up to the last step that the watermark closed."""
+    return read_alerts(spark, _alert_tables(spark, sf_dir))
+
+
+def stream_alert_members(spark, sf_dir):
+    return read_members(spark, _alert_tables(spark, sf_dir))
 
 
 QUERIES = {
     q.__name__: q
     for q in (
-        stream_first_seen, stream_sale_detail, stream_latest_user, stream_coupon_alert
+        stream_first_seen, stream_sale_detail, stream_latest_user, stream_coupon_alert,
+        stream_alert_members,
     )
 }

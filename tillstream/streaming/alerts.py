@@ -1,28 +1,48 @@
-"""Coupon-abuse alerts on a stream."""
+"""Coupon-abuse alerts on a stream.
+
+The state holds one row per device, member and slide step, and nothing per
+window.  Steps that the watermark has closed are stored, and the windows they
+complete are counted by the batch plan of ``operators.alerts``, which gives the
+alerts with everything they list.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillstream.operators.alerts import AlertRule, alert_day, alert_id
-
+from tillstream.operators.alerts import (
+    AlertRule, alert_members, alerts_from, merged_spans,
+)
+from tillstream.operators.dedup import latest_record
+from tillstream.sources.tables import BATCH, WRITER, WRITTEN, read_table, write_batch, writer_id
 
-def _text(millis: int) -> str:
-    return f"{millis} milliseconds"
+STEPS = T.StructType([
+    T.StructField("mid", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("member", T.StringType()), T.StructField("at", T.LongType()),
+    T.StructField("n", T.LongType()), T.StructField("step_date", T.StringType()),
+])
+ALERTS = T.StructType([
+    T.StructField("doc_id", T.StringType()), T.StructField("mid", T.StringType()),
+    T.StructField("window_end", T.LongType()), T.StructField("users", T.LongType()),
+    T.StructField("items", T.LongType()), T.StructField("events", T.LongType()),
+    T.StructField("alert_date", T.StringType()),
+])
+MEMBERS = T.StructType([
+    T.StructField("doc_id", T.StringType()), T.StructField("window_end", T.LongType()),
+    T.StructField("kind", T.StringType()), T.StructField("member", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("alert_date", T.StringType()),
+])
 
 
-def coupon_alert_stream(
+def step_members(
     events: DataFrame, rule: AlertRule = AlertRule(), lateness: str = "10 seconds"
 ) -> DataFrame:
-    """Alerts of ``operators.alerts.coupon_alerts``, one per device and minute.
-
-    A chain of windowed aggregations in append mode: members per slide step,
-    members per sliding window, counts per device and window, last window per
-    minute.  Only distinct members per step are copied into the overlapping
-    windows, the member is part of the key until the counting level, and every
-    level combines inside its task first, so a hot device never meets one task
-    as raw rows.
+    """Members per slide step, once the watermark has passed it: ``STEPS`` rows.
+
+    ``at`` is the end of the step.  Kinds are ``user`` and ``item`` of coupon
+    records and ``event`` of all records; ``n`` counts repeats.
     """
     is_coupon = F.col(rule.event) == rule.coupon
     entries = F.inline(F.array(
@@ -32,8 +52,9 @@ def coupon_alert_stream(
                  F.when(is_coupon, F.col(rule.item).cast("string")).alias("member")),
         F.struct(F.lit("event").alias("kind"), F.col(rule.event).alias("member")),
     ))
-    members = (
-        events.select(
+    return (
+        events.where(F.col(rule.device).isNotNull())
+        .select(
             F.col(rule.ts).cast("timestamp").alias("_time"),
             F.col(rule.device).cast("string").alias("mid"),
             F.col(rule.user), F.col(rule.item), F.col(rule.event),
@@ -41,40 +62,79 @@ def coupon_alert_stream(
         .withWatermark("_time", lateness)
         .select("_time", "mid", entries)
         .where(F.col("member").isNotNull() | (F.col("kind") == "event"))
+        .groupBy(F.window("_time", f"{rule.slide_ms} milliseconds").alias("step"),
+                 "mid", "kind", "member")
+        .agg(F.count("*").alias("n"))
+        .select("mid", "kind", "member", F.unix_millis("step.end").alias("at"), "n",
+                F.date_format("step.end", "yyyy-MM-dd").alias("step_date"))
     )
-    per_step = members.groupBy(
-        F.window("_time", _text(rule.slide_ms)).alias("step"), "mid", "kind", "member"
-    ).agg(F.count("*").alias("n"))
-    per_window = per_step.groupBy(
-        F.window(F.window_time("step"), _text(rule.window_ms), _text(rule.slide_ms))
-        .alias("win"),
-        "mid", "kind", "member",
-    ).agg(F.sum("n").alias("n"))
-
-    def of(kind: str):
-        return F.col("kind") == kind
-
-    click = of("event") & (F.col("member") == rule.click)
-    counts = per_window.groupBy("win", "mid").agg(
-        F.count(F.when(of("user"), 1)).alias("users"),
-        F.count(F.when(of("item"), 1)).alias("items"),
-        F.sum(F.when(of("event"), F.col("n")).otherwise(0)).alias("events"),
-        F.count(F.when(click, 1)).alias("clicks"),
-    )
-    found = counts.where((F.col("users") >= rule.min_users) & (F.col("clicks") == 0))
-    # window_time lies just before the window's end.  Minutes are counted by
-    # the end itself, so the minute bucket starts one slide step early.
-    minute = F.window(
-        F.window_time("win"), _text(rule.grain_ms), _text(rule.grain_ms),
-        _text(rule.grain_ms - rule.slide_ms),
-    )
-    end = F.unix_millis("win.end")
-    best = F.max(F.struct(end.alias("window_end"), "users", "items", "events"))
-    return (
-        found.groupBy(minute.alias("minute"), "mid").agg(best.alias("a"))
-        .select(
-            alert_id("mid", F.col("a.window_end"), rule.grain_ms).alias("doc_id"),
-            alert_day(F.col("a.window_end")).alias("alert_date"),
-            "mid", "a.*",
-        )
-    )
+
+
+def pieces_until(steps: DataFrame, rule: AlertRule, closed: int) -> DataFrame:
+    """Pieces of the windows that end at ``closed`` (epoch milliseconds) or before."""
+    taken = steps.where(F.col("kind") != "event").select("mid", "kind", "member", "at").distinct()
+    spans = merged_spans(taken, rule).withColumn("n", F.lit(1).cast("bigint"))
+    events = steps.where(F.col("kind") == "event").groupBy(
+        "mid", "kind", "member", F.col("at").alias("start")
+    ).agg(F.sum("n").alias("n")).withColumn("end", F.col("start") + rule.window_ms)
+    pieces = spans.unionByName(events)
+    return pieces.withColumn("end", F.least("end", F.lit(closed + rule.slide_ms))).where(
+        F.col("start") < F.col("end"))
+
+
+def alert_writer(path: str, rule: AlertRule):
+    """Batch writer: stores closed steps under ``path/steps`` and the alerts of
+    the windows they complete under ``path/alerts`` and ``path/members``.
+
+    Windows up to the last closed step are final.  A minute that is complete
+    only in part gives its last alert so far, which a later batch replaces.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, me = batch.sparkSession, writer_id(batch)
+        batch.persist()
+        try:
+            closed = batch.agg(F.max("at").alias("at")).first()["at"]
+            if closed is None:
+                return
+            write_batch(batch, f"{path}/steps", batch_id, ["step_date"], me)
+        finally:
+            batch.unpersist()
+        mine = read_table(spark, f"{path}/steps", STEPS).where(F.col(WRITER) == me)
+        earlier = mine.where(F.col(BATCH) < batch_id)
+        # The day is a folder: only the last one is read for the last step.
+        day = earlier.agg(F.max("step_date").alias("d")).first()["d"]
+        before = None if day is None else earlier.where(
+            F.col("step_date") == day).agg(F.max("at").alias("at")).first()["at"]
+        known = mine.where(F.col(BATCH) <= batch_id)
+        if before is not None:
+            first = before // rule.grain_ms * rule.grain_ms - rule.window_ms
+            from_day = F.date_format(F.timestamp_millis(F.lit(first)), "yyyy-MM-dd")
+            known = known.where((F.col("step_date") >= from_day) & (F.col("at") > first))
+        pieces = pieces_until(known, rule, closed)
+        found = alerts_from(pieces, rule).where(F.col("window_end") > (before or 0)).select(
+            *ALERTS.fieldNames())
+        write_batch(found, f"{path}/alerts", batch_id, ["alert_date"], me)
+        stored = read_table(spark, f"{path}/alerts", ALERTS).where(
+            (F.col(WRITER) == me) & (F.col(BATCH) == batch_id)).drop(WRITTEN, WRITER, BATCH)
+        members = alert_members(stored, pieces, rule).join(
+            stored.select("doc_id", "window_end"), "doc_id").select(*MEMBERS.fieldNames())
+        write_batch(members, f"{path}/members", batch_id, ["alert_date"], me)
+
+    return write
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts: per device and minute that of its last window."""
+    rows = latest_record(
+        read_table(spark, f"{path}/alerts", ALERTS), ["alert_date", "doc_id"],
+        ["window_end", WRITTEN, BATCH])
+    return rows.select("doc_id", "alert_date", "mid", "window_end", "users", "items", "events")
+
+
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """What each alert lists: ``doc_id, alert_date, kind, member, n``."""
+    last = read_alerts(spark, path).select("alert_date", "doc_id", "window_end")
+    return read_table(spark, f"{path}/members", MEMBERS).join(
+        last, ["alert_date", "doc_id", "window_end"]
+    ).select("doc_id", "alert_date", "kind", "member", "n").distinct()

@@ -24,7 +24,7 @@ from tillstream.operators.sales import enrich_users
 from tillstream.session import checkpoint_root
 from tillstream.sources.changefeed import change_rows, parse_entries
 from tillstream.sources.tables import write_batch
-from tillstream.streaming.alerts import coupon_alert_stream
+from tillstream.streaming.alerts import alert_writer, step_members
 from tillstream.streaming.dedup import first_seen_stream
 from tillstream.streaming.sales import join_streams
 
@@ -239,13 +239,14 @@ def alert_job(
     lateness: str = "10 seconds", quarantine: str | None = None,
     name: str = "coupon_alerts", **run,
 ) -> StreamingQuery:
-    """Event logs to the alert table (key ``doc_id``, one partition per day).
+    """Event logs to alerts with their lists, under ``path``.
 
+    Read them with ``streaming.alerts.read_alerts`` and ``read_members``.
     With ``quarantine`` a second query, ``<name>_bad``, stores the bad lines.
     """
     quarantine_beside(parse_logs(lines, schemas.EVENT_LOG), quarantine, name, run)
-    alerts = coupon_alert_stream(event_rows(lines), rule, lateness)
-    return start(alerts, name, table_writer(path, ["alert_date"]), **run)
+    steps = step_members(event_rows(lines), rule, lateness)
+    return start(steps, name, alert_writer(path, rule), **run)
 
 
 def _topic_writer(
