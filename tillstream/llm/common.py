@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,13 +49,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, and
-    a lost executor costs a read instead of the whole computation."""
+    a lost executor costs a read instead of the whole computation.
+
+    Spark removes the shuffle files of a finished step once the driver has
+    collected the objects that name them; ``release`` asks for that right away,
+    for steps whose shuffles are as large as the input.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return found
 
 
 def input_bytes(df: DataFrame, column: str) -> int:

@@ -9,10 +9,10 @@ shingles with the other.  The steps:
    number of their holders.
 2. Set aside the T - 1 most common shingles of a text: a partner must share one
    of the rest.  Texts meet in the inverted lists of these rare shingles.
-3. In every list the text with the smallest set asks for its partners; links
-   give first components.  Lists that still hold several components are asked
-   again by all texts outside the list's largest component, so a large group of
-   copies needs no pairs among themselves.
+3. In every list the text with the smallest set asks for its partners, once for
+   all lists that it leads; links give first components.  Lists that still hold
+   several components are asked again by all texts outside the list's largest
+   component, so a large group of copies needs no pairs among themselves.
 4. A question is a T-occurrence search (DivideSkip): the lists of the block that
    are short are merged by counting, the long ones probed for those that can
    still reach T.
@@ -36,8 +36,9 @@ from tillstream.llm.graph import components
 from tillstream.llm.hashing import shingles
 
 CHUNK_BYTES = 4 << 20
-RANGE_BYTES = 6 << 20
+RANGE_BYTES = 12 << 20
 BLOCK_BYTES = 8 << 20
+SMALL_LIST = 32
 
 
 def words_of(text: str) -> list[bytes]:
@@ -201,24 +202,26 @@ def candidate_texts(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def inverted_lists(texts: DataFrame) -> DataFrame:
-    """(list, class, n): rare shingles with several texts; lists that hold the
-    same texts are kept once."""
+    """(list, class, n, held, size): rare shingles with several texts; lists that
+    hold the same texts are kept once.  ``held`` counts a text's shared shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sizes, hashes = [], [], []
+            classes, sizes, held, hashes = [], [], [], []
             for name, n, shared, first in zip(*(c.to_pylist() for c in batch.columns)):
                 found = np.frombuffer(shared, "<i8")[:first].tolist()
                 classes += [name] * len(found)
                 sizes += [n] * len(found)
+                held += [len(shared) // 8] * len(found)
                 hashes += found
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.int64()), pa.array(classes, pa.binary()),
-                 pa.array(sizes, pa.int64())], ["list", "class", "n"])
+                 pa.array(sizes, pa.int64()), pa.array(held, pa.int64())],
+                ["list", "class", "n", "held"])
 
     entries = stored(
         texts.select("class", "n", "shared", "first").mapInArrow(
-            work, "list bigint, class binary, n bigint"), "jaccard-lists")
+            work, "list bigint, class binary, n bigint, held bigint"), "jaccard-lists")
     members = entries.groupBy("list").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"),
         F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("size > 1")
@@ -257,13 +260,13 @@ def divide_skip(query: np.ndarray, index: tuple[np.ndarray, np.ndarray], texts:
 def search(questions: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the texts that ask and the texts of their block.
 
-    ``questions`` has block, class, n, shared, asks; the rows of one block come
-    together.  Only the first link of a text to each first component is needed,
-    but all are given.
+    ``questions`` has list, part, class, label, n, shared, asks; the rows of one
+    part come together.  A link is given when it joins two components (by label
+    or by links before it), so a part gives fewer links than it has texts.
     """
 
     def work(table: pa.Table) -> pa.Table:
-        rows = table.select(["class", "n", "shared", "asks"]).to_pylist()
+        rows = table.select(["class", "label", "n", "shared", "asks"]).to_pylist()
         rows.sort(key=lambda r: (r["class"], not r["asks"]))
         rows = [r for i, r in enumerate(rows) if not i or rows[i - 1]["class"] != r["class"]]
         sets = [np.frombuffer(r["shared"], "<u8") for r in rows]
@@ -271,27 +274,57 @@ def search(questions: DataFrame, percent: int) -> DataFrame:
         owners = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
         order = np.lexsort((owners, keys))
         index, sizes = (keys[order], owners[order]), np.array([r["n"] for r in rows])
-        links = []
+        links, parent = [], {r["label"]: r["label"] for r in rows}
+
+        def find(label: bytes) -> bytes:
+            while parent[label] != label:
+                parent[label] = label = parent[parent[label]]
+            return label
+
         for i, row in enumerate(rows):
             if not row["asks"]:
                 continue
             # 100 * shared >= percent * (n + m - shared)
             least = -(-percent * (sizes + row["n"]) // (100 + percent))
             found, _ = divide_skip(sets[i], index, len(rows), least, max(8, len(rows) // 8))
-            links += [(row["class"], rows[j]["class"]) for j in found.tolist() if j != i]
+            for j in found.tolist():
+                mine, other = find(row["label"]), find(rows[j]["label"])
+                if mine != other:
+                    parent[mine] = other
+                    links.append((row["class"], rows[j]["class"]))
         columns = list(zip(*links)) or [[]] * 2
         return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary())})
 
     return questions.groupBy("list", "part").applyInArrow(work, "a binary, b binary")
 
 
-def ask(entries: DataFrame, asks: Column, texts: DataFrame, percent: int) -> DataFrame:
-    """Links found by the entries (list, class) for which ``asks`` holds.
+def possible(percent: int, a: str, b: str) -> Column:
+    """Whether sizes and shared shingles of two entries allow a link."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    least = F.ceil(F.lit(percent) * n / F.lit(100 + percent))
+    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (
+        F.least(f"{a}.held", f"{b}.held") >= least)
+
+
+def blocks_of(pairs: DataFrame) -> DataFrame:
+    """Entries (list, class, label, asks) of pairs (asker, asker_label, other,
+    other_label): a block for each asker."""
+    found = pairs.distinct()
+    return found.select(
+        F.col("asker").alias("list"), F.col("other").alias("class"),
+        F.col("other_label").alias("label"), F.lit(False).alias("asks")
+    ).unionByName(found.select(
+        F.col("asker").alias("list"), F.col("asker").alias("class"),
+        F.col("asker_label").alias("label"), F.lit(True).alias("asks")
+    ).distinct())
+
+
+def ask(entries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links found in blocks of entries (list, class, label, asks).
 
-    A list of many bytes is cut by hash into parts, and its questions go to all
-    of them, so no block grows with the list.
+    A block of many bytes is cut by hash into parts, and its questions go to all
+    of them, so no part grows with the block.
     """
-    entries = entries.select("list", "class", asks.alias("asks"))
     marked = entries.join(texts.select("class", "n", "shared"), "class")
     volume = entries.join(texts.select("class", F.octet_length("shared").alias("bytes")), "class")
     parts = volume.groupBy("list").agg(F.sum("bytes").alias("bytes")).select(
@@ -300,7 +333,7 @@ def ask(entries: DataFrame, asks: Column, texts: DataFrame, percent: int) -> Dat
     own = F.pmod(F.xxhash64("class"), F.col("last") + 1).cast("int")
     spread = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(own))
     return search(placed.withColumn("part", F.explode(spread)).select(
-        "list", "part", "class", "n", "shared", "asks"), percent)
+        "list", "part", "class", "label", "n", "shared", "asks"), percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
@@ -319,12 +352,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
     named = stored(class_rows(rows, size), "jaccard-rows")
     ranges = max(1, min(1 << 20, input_bytes(rows, "text") // RANGE_BYTES))
     texts = stored(
-        candidate_texts(shared_shingles(range_payloads(rows, size, ranges)), percent), "jaccard-texts")
+        candidate_texts(shared_shingles(range_payloads(rows, size, ranges)), percent),
+        "jaccard-texts", release=True)
     entries = stored(inverted_lists(texts), "jaccard-entries")
     # The smallest set of each list asks first.
-    least = entries.groupBy("list").agg(F.min(F.struct("n", "class")).alias("one"))
-    leaders = entries.join(least, "list").withColumn("leads", F.col("class") == F.col("one.class"))
-    links = stored(ask(leaders.drop("one"), F.col("leads"), texts, percent), "jaccard-links")
+    least = entries.groupBy("list").agg(F.min(F.struct("n", "class", "held")).alias("one"))
+    led = entries.alias("e").join(least, "list").where(
+        (F.col("e.class") != F.col("one.class")) & possible(percent, "e", "one"))
+    links = stored(ask(blocks_of(led.select(
+        F.col("one.class").alias("asker"), F.col("one.class").alias("asker_label"),
+        F.col("e.class").alias("other"), F.col("e.class").alias("other_label"))), texts, percent),
+        "jaccard-links", release=True)
     labels = stored(components(links), "jaccard-labels")
     # Lists that hold several components: all texts outside the largest one ask.
     labelled = entries.join(
@@ -333,9 +371,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
     held = labelled.groupBy("list", "label").agg(F.count("*").alias("members"))
     largest = held.groupBy("list").agg(
         F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("top")).where("labels > 1")
-    open_lists = labelled.join(largest, "list").withColumn("outside", F.col("label") != F.col("top.label"))
-    more = ask(open_lists.select("list", "class", "outside"), F.col("outside"), texts, percent)
-    labels = components(links.unionByName(stored(more, "jaccard-links")))
+    opened = stored(labelled.join(largest, "list").withColumn(
+        "outside", F.col("label") != F.col("top.label")).drop("top", "labels"), "jaccard-open")
+    # Short lists in pairs, as most pairs stand in many of them; long ones as blocks.
+    short = opened.where(F.col("size") <= SMALL_LIST)
+    pairs = short.where("outside").alias("a").join(short.alias("b"), "list").where(
+        (F.col("a.label") != F.col("b.label")) & (~F.col("b.outside") | (F.col("a.class") < F.col("b.class")))
+        & possible(percent, "a", "b"))
+    long = opened.where(F.col("size") > SMALL_LIST)
+    more = ask(blocks_of(pairs.select(
+        F.col("a.class").alias("asker"), F.col("a.label").alias("asker_label"),
+        F.col("b.class").alias("other"), F.col("b.label").alias("other_label"))), texts, percent
+    ).unionByName(ask(
+        long.select("list", "class", "label", F.col("outside").alias("asks")), texts, percent))
+    labels = components(links.unionByName(stored(more, "jaccard-links", release=True)))
     # Components of rows: smallest id of a class, then of its label's classes.
     classes = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("row_id").alias("least"))
     joined = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(

@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], window: int = 400,
                 texts = Texts(row["chunk"], unpack(row), window, v, cover)
                 yield send(row["chunk"], texts.names(whole=True), texts.samples(), buckets)
 
-    tied = stored(sort_buckets(chunks.mapInArrow(first, PAYLOADS)), "cover-ties")
+    tied = stored(sort_buckets(chunks.mapInArrow(first, PAYLOADS)), "cover-ties", release=True)
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
