@@ -49,23 +49,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, and
-    a lost executor costs a read instead of the whole computation.
-
-    Spark removes the shuffle files of a finished step once the driver has
-    collected the objects that name them; ``release`` asks for that right away,
-    for steps whose shuffles are as large as the input.
-    """
+    a lost executor costs a read instead of the whole computation."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return found
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark removes them once the driver has collected the objects that name
+    them; this asks for that after steps that shuffle as much as the input.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame, column: str) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillstream.llm.common import input_bytes, stored, whole_text
+from tillstream.llm.common import input_bytes, release, stored, whole_text
 from tillstream.llm.graph import components
 from tillstream.llm.hashing import shingles
 
@@ -353,7 +353,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
     ranges = max(1, min(1 << 20, input_bytes(rows, "text") // RANGE_BYTES))
     texts = stored(
         candidate_texts(shared_shingles(range_payloads(rows, size, ranges)), percent),
-        "jaccard-texts", release=True)
+        "jaccard-texts")
+    release(docs.sparkSession)
     entries = stored(inverted_lists(texts), "jaccard-entries")
     # The smallest set of each list asks first.
     least = entries.groupBy("list").agg(F.min(F.struct("n", "class", "held")).alias("one"))
@@ -362,7 +363,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
     links = stored(ask(blocks_of(led.select(
         F.col("one.class").alias("asker"), F.col("one.class").alias("asker_label"),
         F.col("e.class").alias("other"), F.col("e.class").alias("other_label"))), texts, percent),
-        "jaccard-links", release=True)
+        "jaccard-links")
+    release(docs.sparkSession)
     labels = stored(components(links), "jaccard-labels")
     # Lists that hold several components: all texts outside the largest one ask.
     labelled = entries.join(
@@ -384,7 +386,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
         F.col("b.class").alias("other"), F.col("b.label").alias("other_label"))), texts, percent
     ).unionByName(ask(
         long.select("list", "class", "label", F.col("outside").alias("asks")), texts, percent))
-    labels = components(links.unionByName(stored(more, "jaccard-links", release=True)))
+    links = links.unionByName(stored(more, "jaccard-links"))
+    del more, pairs, short, long, led
+    release(docs.sparkSession)
+    labels = components(links)
     # Components of rows: smallest id of a class, then of its label's classes.
     classes = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("row_id").alias("least"))
     joined = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.llm.common import input_bytes, stored, whole_text
+from tillstream.llm.common import input_bytes, release, stored, whole_text
 from tillstream.llm.hashing import mix, running, spans
 from tillstream.llm.jaccard_join import get, put
 
@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, carry: list[str], window: int = 400,
                 texts = Texts(row["chunk"], unpack(row), window, v, cover)
                 yield send(row["chunk"], texts.names(whole=True), texts.samples(), buckets)
 
-    tied = stored(sort_buckets(chunks.mapInArrow(first, PAYLOADS)), "cover-ties", release=True)
+    tied = stored(sort_buckets(chunks.mapInArrow(first, PAYLOADS)), "cover-ties")
+    release(docs.sparkSession)
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
