@@ -32,7 +32,7 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
 
 def create_cache(spark: SparkSession, path: str) -> None:
     """Make an empty cache where there is none."""
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").parquet(path)
 
 
 def encode_counts(texts: DataFrame, tokenizer_path: str, spaces_kept: bool) -> DataFrame:
