@@ -153,4 +153,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, training: Column,
     Each row is judged where it is read; texts are not moved."""
     ranking = fit_ranking(
         docs.select("doc_id", features(whole_text()).alias("f")), labels, training, threshold)
-    return docs.where(ranking.score(ranking.strength(features(whole_text()))) >= threshold)
+    # The features stay in a projection, which evaluates shared parts once; a
+    # filter would repeat them.  The generator keeps the filter above it.
+    strength = F.explode(F.array(ranking.strength(F.col("__f")))).alias("__strength")
+    judged = docs.withColumn("__f", features(whole_text())).select("*", strength)
+    return judged.where(ranking.score(F.col("__strength")) >= threshold).drop("__f", "__strength")
