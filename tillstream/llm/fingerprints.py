@@ -20,53 +20,66 @@ from pyspark.sql import functions as F
 from tillstream.llm.common import input_bytes, whole_text
 from tillstream.llm.hashing import mix, shingles
 
-TERM_BITS = 16
 SAMPLES = 64
+TERMS_PER_BLOCK = 512
+
+
+def uniform(bits: np.ndarray) -> np.ndarray:
+    """The low 23 bits as numbers strictly between 0 and 1."""
+    ones = bits & np.uint32(0x7FFFFF) | np.uint32(0x3F800000)
+    return ones.view(np.float32) - np.float32(1 - 2.0 ** -24)
 
 
 class Sampler:
-    """Fingerprints of texts.  Terms are runs of two words, weighted by how
-    often they occur and told apart by ``TERM_BITS`` bits of their hash."""
+    """Fingerprints of texts.  Terms are runs of two words, weighted by how often
+    they occur and told apart by their 64-bit hash; the random numbers of a term
+    and sample are mixed from that hash and the sample's keys."""
 
     def __init__(self, samples: int = SAMPLES, seed: int = 11):
         random = np.random.Generator(np.random.PCG64(seed))
-        shape = (1 << TERM_BITS, samples)
         self.samples = samples
-        self.r = random.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.ln_c = np.log(random.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.beta = random.random(shape, dtype=np.float32)
-        # Weight 1 is by far the most common: t = 0, value and sample known beforehand.
-        names = np.arange(1 << TERM_BITS, dtype=np.uint64)[:, None]
-        self.single = self._packed(self.ln_c + self.r * self.beta - self.r, names, np.int64(0))
-
-    @staticmethod
-    def _packed(value: np.ndarray, names: np.ndarray, t) -> np.ndarray:
-        """Value (in bits that sort like it) above 32 bits that name term and t."""
-        bits = np.ascontiguousarray(value, dtype=np.float32).view(np.uint32)
-        bits = np.where(bits >> 31 == 1, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-        name = mix(names * np.uint64(0x100000001B3) + np.asarray(t).astype(np.uint64))
-        return bits << np.uint64(32) | name & np.uint64(0xFFFFFFFF)
+        self.keys = random.integers(0, 1 << 64, (2, samples, 1), dtype=np.uint64)
+
+    def numbers(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, ln c and beta, a row for each sample."""
+        a = mix(terms ^ self.keys[0])
+        b = mix(a + self.keys[1])
+        a_low, b_low = a.astype(np.uint32), b.astype(np.uint32)
+        a_high, b_high = (a >> np.uint64(32)).astype(np.uint32), (b >> np.uint64(32)).astype(np.uint32)
+        nine = np.uint32(9)
+        # The sum of two exponential numbers is gamma(2).
+        r = -np.log(uniform(a_high >> nine) * uniform(a_low >> nine))
+        ln_c = np.log(-np.log(uniform(b_high >> nine) * uniform(b_low >> nine)))
+        beta = uniform(a_high << np.uint32(14) ^ (a_low & np.uint32(511)) << np.uint32(5) ^ b_high & np.uint32(31))
+        return r, ln_c, beta
 
     def of(self, text: str) -> np.ndarray:
         """Samples as 32-bit numbers; all zero for a text without words."""
         found = shingles(text.lower().encode().split(), 2)
         if not len(found):
             return np.zeros(self.samples, dtype=np.uint32)
-        names, weights = np.unique(found >> np.uint64(64 - TERM_BITS), return_counts=True)
-        names = names.astype(np.int64)
-        once = names[weights == 1]
-        best = np.full(self.samples, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(once), 2048):
-            best = np.minimum(best, self.single[once[at:at + 2048]].min(axis=0))
-        more, ln_w = names[weights > 1], np.log(weights[weights > 1]).astype(np.float32)
-        for at in range(0, len(more), 2048):
-            part = more[at:at + 2048]
-            r, beta = self.r[part], self.beta[part]
-            t = np.floor(ln_w[at:at + 2048, None] / r + beta)
-            value = self.ln_c[part] - r * (t - beta) - r
-            packed = self._packed(value, part.astype(np.uint64)[:, None], t.astype(np.int64))
-            best = np.minimum(best, packed.min(axis=0))
-        return (best & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        terms, weights = np.unique(found, return_counts=True)
+        least = np.full(self.samples, np.inf, dtype=np.float32)
+        term, position = np.zeros(self.samples, dtype=np.uint64), np.zeros(self.samples, dtype=np.int64)
+        rows = np.arange(self.samples)
+        once = weights == 1  # by far the most common: t = 0
+        for part, ln_w in ((terms[once], None), (terms[~once], np.log(weights[~once]).astype(np.float32))):
+            for at in range(0, len(part), TERMS_PER_BLOCK):
+                block = part[at:at + TERMS_PER_BLOCK]
+                r, ln_c, beta = self.numbers(block)
+                if ln_w is None:
+                    t = None
+                    value = ln_c + r * beta - r
+                else:
+                    t = np.floor(ln_w[at:at + TERMS_PER_BLOCK] / r + beta)
+                    value = ln_c - r * (t - beta) - r
+                i = value.argmin(axis=1)  # of equal values the smallest term, as terms are in order
+                low, name = value[rows, i], block[i]
+                better = (low < least) | (low == least) & (name < term)
+                least[better], term[better] = low[better], name[better]
+                position[better] = 0 if t is None else t[rows, i][better].astype(np.int64)
+        name = mix(term * np.uint64(0x100000001B3) + position.astype(np.uint64))
+        return name.astype(np.uint32)
 
 
 _SAMPLERS: dict[int, Sampler] = {}
