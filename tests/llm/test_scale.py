@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tillstream.llm import fingerprints
+from tillstream.llm import fingerprints, jaccard_join
 
 
 @pytest.mark.parametrize("shared", [0, 30_000, 60_000])
@@ -20,3 +20,40 @@ def test_likeness_of_long_texts(shared):
     sampler = fingerprints.Sampler(1024)
     close = fingerprints.likeness(sampler.of(" ".join(a)), sampler.of(" ".join(b)))
     assert abs(close - true) < 4 * max(true * (1 - true), 0.01) ** 0.5 / 32
+
+
+def linked(texts, size=5, percent=75):
+    """Smallest id of each text's component, by comparing all pairs."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
+    least = {d: d for d in texts}
+    for _ in texts:
+        before = dict(least)
+        for a in texts:
+            for b in texts:
+                n = len(sets[a] & sets[b])
+                if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                    least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least
+
+
+def components_of(docs):
+    return {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+
+
+def test_payloads_do_not_grow_with_texts_times_ranges(spark, monkeypatch):
+    random = np.random.Generator(np.random.PCG64(6))
+    texts = {i: " ".join(f"w{x}" for x in random.integers(0, 10_000, 24)) for i in range(120)}
+    for i in range(0, 100, 10):
+        texts[i + 1] = texts[i] + " end"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    payloads = jaccard_join.range_payloads(docs, 5, 400)
+    moved = payloads.selectExpr("sum(octet_length(payload))").first()[0]
+    back = jaccard_join.shared_shingles(payloads).selectExpr("sum(octet_length(payload))").first()[0]
+    hashes = sum(len(t.split()) - 4 for t in texts.values())
+    assert moved < 32 * hashes and back < 32 * hashes
+    monkeypatch.setattr(jaccard_join, "RANGE_BYTES", 64)
+    assert components_of(docs) == linked(texts)

@@ -78,23 +78,43 @@ def class_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(work, "row_id bigint, class binary, n_shingles bigint")
 
 
-# A payload holds one chunk's hashes of one range: number of texts, names of the
-# texts (8 bytes), how many hashes each has, and the hashes in text order.
+# A payload holds one chunk's hashes of one range: number of entries, the text of
+# each (its place in the chunk), how many hashes it has, names of the texts (8 bytes,
+# only on the way out), and the hashes in text order.  Only texts with a hash have
+# entries, one for each 65,535 hashes.
 
-def put(names: np.ndarray, counts: np.ndarray, values: np.ndarray) -> bytes:
-    return struct.pack("<I", len(names)) + names.tobytes() + counts.astype("<u4").tobytes() + values.tobytes()
+CHUNK_TEXTS = 1 << 16
+MOST = (1 << 16) - 1
 
 
-def get(payload: bytes, kind: str = "<u8") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def put(counts: np.ndarray, values: np.ndarray, names: np.ndarray | None = None) -> bytes:
+    """``counts`` has the number of hashes of the chunk's texts, by place."""
+    there = np.flatnonzero(counts)
+    times = -(-counts[there] // MOST)
+    texts = np.repeat(there, times)
+    each = np.full(len(texts), MOST, dtype="<u2")
+    if len(there):
+        each[np.cumsum(times) - 1] = counts[there] - (times - 1) * MOST
+    named = b"" if names is None else names[texts].tobytes()
+    return struct.pack("<I", len(texts)) + texts.astype("<u2").tobytes() + each.tobytes() + named + values.tobytes()
+
+
+def get(payload: bytes, kind: str = "<u8", named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text of each hash, name of each hash's text (empty if not sent), hashes."""
     n = struct.unpack_from("<I", payload)[0]
-    names = np.frombuffer(payload, "<u8", n, 4)
-    counts = np.frombuffer(payload, "<u4", n, 4 + 8 * n)
-    return names, counts.astype(np.int64), np.frombuffer(payload, kind, offset=4 + 12 * n)
+    texts = np.frombuffer(payload, "<u2", n, 4).astype(np.int64)
+    counts = np.frombuffer(payload, "<u2", n, 4 + 2 * n).astype(np.int64)
+    names = np.frombuffer(payload, "<u8", n if named else 0, 4 + 4 * n)
+    values = np.frombuffer(payload, kind, offset=4 + (12 if named else 4) * n)
+    return np.repeat(texts, counts), np.repeat(names, counts) if named else names, values
 
 
 def range_payloads(docs: DataFrame, size: int, ranges: int) -> DataFrame:
-    """(range, chunk, classes, payload): each chunk of texts, cut by hash range.
-    The class names go with range 0; copies inside a chunk count once."""
+    """(range, lane, chunk, classes, payload): each chunk of texts, cut by hash range.
+
+    One more row per chunk has its class names and how many hashes each has; its
+    lane is the chunk, so these rows do not meet.  Copies inside a chunk count once.
+    """
 
     def cut(chunk: int, sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         classes = list(sets)
@@ -105,15 +125,19 @@ def range_payloads(docs: DataFrame, size: int, ranges: int) -> DataFrame:
         order = np.argsort(where, kind="stable")  # texts stay in order inside a range
         values, text, where = values[order], text[order], where[order]
         edges = np.searchsorted(where, np.arange(ranges + 1))
+        there = np.flatnonzero(np.diff(edges)).tolist()
         payloads = [
-            put(names, np.bincount(text[a:b], minlength=len(classes)), values[a:b])
-            for a, b in zip(edges[:-1], edges[1:])
+            put(np.bincount(text[a:b]), values[a:b], names)
+            for a, b in zip(edges[there].tolist(), edges[np.array(there) + 1].tolist())
         ]
-        heads = [b"".join(classes)] + [b""] * (ranges - 1)
+        totals = np.array([len(s) for s in sets.values()], dtype="<u4").tobytes()
+        n = len(there)
         return pa.RecordBatch.from_arrays(
-            [pa.array(range(ranges), pa.int32()), pa.array([chunk] * ranges, pa.int64()),
-             pa.array(heads, pa.binary()), pa.array(payloads, pa.binary())],
-            ["range", "chunk", "classes", "payload"])
+            [pa.array([-1, *there], pa.int32()), pa.array([chunk] + [-1] * n, pa.int64()),
+             pa.array([chunk] * (n + 1), pa.int64()),
+             pa.array([b"".join(classes)] + [None] * n, pa.binary()),
+             pa.array([totals, *payloads], pa.binary())],
+            ["range", "lane", "chunk", "classes", "payload"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -126,23 +150,25 @@ def range_payloads(docs: DataFrame, size: int, ranges: int) -> DataFrame:
                     continue
                 sets[name] = set_of(words, size)
                 held += 8 * len(sets[name]) + 16
-                if held >= CHUNK_BYTES:
+                if held >= CHUNK_BYTES or len(sets) == CHUNK_TEXTS:
                     yield cut(chunk, sets)
                     chunk, sets, held = chunk + 1, {}, 0
         if sets:
             yield cut(chunk, sets)
 
-    return docs.mapInArrow(work, "range int, chunk bigint, classes binary, payload binary")
+    return docs.mapInArrow(work, "range int, lane bigint, chunk bigint, classes binary, payload binary")
 
 
 def shared_shingles(payloads: DataFrame) -> DataFrame:
     """(chunk, classes, payload): per range and chunk what is held by several
-    texts, as (hash, holders) pairs, and how many hashes each text had."""
+    texts, as (hash, holders) pairs; rows with class names stay as they are."""
 
     def work(table: pa.Table) -> pa.Table:
-        parts = [get(p) for p in table.column("payload").to_pylist()]
+        if table.column("range")[0].as_py() < 0:
+            return table.select(["chunk", "classes", "payload"])
+        parts = [get(p, named=True) for p in table.column("payload").to_pylist()]
         values = np.concatenate([p[2] for p in parts])
-        owner = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+        owner = np.concatenate([p[1] for p in parts])
         order = np.argsort(values, kind="stable")
         ranked, by = values[order], owner[order]
         holders = np.zeros(len(values), dtype="<u4")
@@ -151,20 +177,22 @@ def shared_shingles(payloads: DataFrame) -> DataFrame:
             several = np.minimum.reduceat(by, first) != np.maximum.reduceat(by, first)
             width = np.diff(np.append(first, len(ranked)))
             holders[order] = np.repeat(np.where(several, width, 0), width)
-        out, at = [], 0
-        for names, counts, own in parts:
+        chunks, out, at = [], [], 0
+        for chunk, (text, _, own) in zip(table.column("chunk").to_pylist(), parts):
             mine = holders[at:at + len(own)]
+            at += len(own)
             keep = mine > 0
-            text = np.repeat(np.arange(len(names)), counts)[keep]
+            if not keep.any():
+                continue
             pairs = np.empty(int(keep.sum()), dtype=PAIR)
             pairs["hash"], pairs["holders"] = own[keep], mine[keep]
-            kept = np.bincount(text, minlength=len(names))
-            out.append(put(counts.astype("<u8"), kept, pairs))
-            at += len(own)
-        return pa.table({"chunk": table.column("chunk"), "classes": table.column("classes"),
-                         "payload": pa.array(out, pa.binary())})
+            chunks.append(chunk)
+            out.append(put(np.bincount(text[keep]), pairs))
+        return pa.table({"chunk": pa.array(chunks, pa.int64()),
+                         "classes": pa.nulls(len(out), pa.binary()), "payload": pa.array(out, pa.binary())})
 
-    return payloads.groupBy("range").applyInArrow(work, "chunk bigint, classes binary, payload binary")
+    return payloads.groupBy("range", "lane").applyInArrow(
+        work, "chunk bigint, classes binary, payload binary")
 
 
 PAIR = np.dtype([("hash", "<u8"), ("holders", "<u4")])
@@ -175,11 +203,12 @@ def candidate_texts(shared: DataFrame, percent: int) -> DataFrame:
     shingles from rare to common, and how many of those must meet a partner's."""
 
     def work(table: pa.Table) -> pa.Table:
-        classes = b"".join(table.column("classes").to_pylist())
-        parts = [get(p, PAIR) for p in table.column("payload").to_pylist()]
-        total = sum((p[0].astype(np.int64) for p in parts), np.zeros(len(classes) // 16, np.int64))
-        pairs = np.concatenate([p[2] for p in parts])
-        text = np.concatenate([np.repeat(np.arange(len(p[1])), p[1]) for p in parts])
+        rows = list(zip(table.column("classes").to_pylist(), table.column("payload").to_pylist()))
+        classes, totals = next(r for r in rows if r[0] is not None)
+        total = np.frombuffer(totals, "<u4").astype(np.int64)
+        parts = [get(p, PAIR) for c, p in rows if c is None]
+        pairs = np.concatenate([np.empty(0, dtype=PAIR), *(p[2] for p in parts)])
+        text = np.concatenate([np.empty(0, dtype=np.int64), *(p[0] for p in parts)])
         order = np.lexsort((pairs["hash"], pairs["holders"], text))
         pairs, text = pairs[order], text[order]
         edges = np.searchsorted(text, np.arange(len(total) + 1))
