@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillstream.llm import fingerprints, jaccard_join
 
@@ -57,3 +58,46 @@ def test_payloads_do_not_grow_with_texts_times_ranges(spark, monkeypatch):
     assert moved < 32 * hashes and back < 32 * hashes
     monkeypatch.setattr(jaccard_join, "RANGE_BYTES", 64)
     assert components_of(docs) == linked(texts)
+
+
+def groups_of_searches(monkeypatch):
+    """The bytes of the largest group of each search, in a list that fills up."""
+    found, search = [], jaccard_join.search
+
+    def watched(questions, percent):
+        sizes = questions.groupBy("list", "part").agg(F.sum(F.octet_length("shared")).alias("n"))
+        found.append(sizes.agg(F.max("n")).first()[0] or 0)
+        return search(questions, percent)
+
+    monkeypatch.setattr(jaccard_join, "search", watched)
+    return found
+
+
+@pytest.mark.parametrize("kind", ["passage", "families"])
+def test_hot_lists_keep_groups_small(spark, monkeypatch, kind):
+    """A passage in very many unlike texts, and families of texts around the
+    threshold, against all pairs."""
+    random = np.random.Generator(np.random.PCG64(7))
+
+    def words(n):
+        return [f"w{x}" for x in random.integers(0, 1 << 40, n)]
+
+    if kind == "passage":
+        hot = words(80)
+        texts = {i: " ".join(hot + words(15 + i % 12)) for i in range(150)}
+        for i in range(0, 60, 12):
+            texts[i + 200] = texts[i] + " end"
+    else:
+        hot, texts = words(40), {}
+        for family in range(3):
+            base = hot + words(50)
+            for i in range(30):
+                start = int(random.integers(40, 80))
+                texts[100 * family + i] = " ".join(
+                    base[:start] + words(int(random.integers(1, 12))) + base[start + int(random.integers(0, 8)):])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "SMALL_LIST", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 8_000)
+    groups = groups_of_searches(monkeypatch)
+    assert components_of(docs) == linked(texts)
+    assert max(groups) < 3 * 8_000

@@ -12,7 +12,9 @@ shingles with the other.  The steps:
 3. In every list the text with the smallest set asks for its partners, once for
    all lists that it leads; links give first components.  Lists that still hold
    several components are asked again by all texts outside the list's largest
-   component, so a large group of copies needs no pairs among themselves.
+   component, so a large group of copies needs no pairs among themselves.  Two
+   texts need to meet only in the rarest shingle they share, and there sizes and
+   places bound what they can share (positional filter).
 4. A question is a T-occurrence search (DivideSkip): the lists of the block that
    are short are merged by counting, the long ones probed for those that can
    still reach T.
@@ -21,6 +23,7 @@ shingles with the other.  The steps:
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
@@ -231,30 +234,34 @@ def candidate_texts(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def inverted_lists(texts: DataFrame) -> DataFrame:
-    """(list, class, n, held, size): rare shingles with several texts; lists that
-    hold the same texts are kept once.  ``held`` counts a text's shared shingles."""
+    """(list, class, n, held, rest, size): rare shingles with several texts; of
+    lists that hold the same texts the rarest is kept.  ``held`` counts a text's
+    shared shingles, ``rest`` those from this one on, in the order of all texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sizes, held, hashes = [], [], [], []
+            classes, sizes, held, rest, hashes = [], [], [], [], []
             for name, n, shared, first in zip(*(c.to_pylist() for c in batch.columns)):
                 found = np.frombuffer(shared, "<i8")[:first].tolist()
                 classes += [name] * len(found)
                 sizes += [n] * len(found)
                 held += [len(shared) // 8] * len(found)
+                rest += range(len(shared) // 8, len(shared) // 8 - len(found), -1)
                 hashes += found
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.int64()), pa.array(classes, pa.binary()),
-                 pa.array(sizes, pa.int64()), pa.array(held, pa.int64())],
-                ["list", "class", "n", "held"])
+                 pa.array(sizes, pa.int64()), pa.array(held, pa.int64()), pa.array(rest, pa.int64())],
+                ["list", "class", "n", "held", "rest"])
 
     entries = stored(
         texts.select("class", "n", "shared", "first").mapInArrow(
-            work, "list bigint, class binary, n bigint, held bigint"), "jaccard-lists")
+            work, "list bigint, class binary, n bigint, held bigint, rest bigint"), "jaccard-lists")
     members = entries.groupBy("list").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"),
-        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("size > 1")
-    kept = members.groupBy("size", "x", "y").agg(F.min("list").alias("list")).select("list", "size")
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
+        F.max("rest").alias("top")).where("size > 1")
+    # A rarer shingle has more after it, in each of the texts.
+    kept = members.groupBy("size", "x", "y").agg(F.max_by("list", "top").alias("list")).select("list", "size")
     return entries.join(kept, "list")
 
 
@@ -335,6 +342,18 @@ def possible(percent: int, a: str, b: str) -> Column:
         F.least(f"{a}.held", f"{b}.held") >= least)
 
 
+def spare(percent: int) -> Column:
+    """percent times the largest partner that an entry can link with, if they
+    share nothing before the entry's list."""
+    return F.col("rest") * (100 + percent) - F.col("n") * percent
+
+
+def first_met(percent: int, a: str, b: str) -> Column:
+    """Whether two entries of a list can link, given that it is the first they share."""
+    return (F.col(f"{a}.spare") >= F.col(f"{b}.n") * percent) & (
+        F.col(f"{b}.spare") >= F.col(f"{a}.n") * percent)
+
+
 def blocks_of(pairs: DataFrame) -> DataFrame:
     """Entries (list, class, label, asks) of pairs (asker, asker_label, other,
     other_label): a block for each asker."""
@@ -352,7 +371,7 @@ def ask(entries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links found in blocks of entries (list, class, label, asks).
 
     A block of many bytes is cut by hash into parts, and its questions go to all
-    of them, so no part grows with the block.
+    of them: for blocks with one or few texts that ask.
     """
     marked = entries.join(texts.select("class", "n", "shared"), "class")
     volume = entries.join(texts.select("class", F.octet_length("shared").alias("bytes")), "class")
@@ -365,6 +384,44 @@ def ask(entries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         "list", "part", "class", "label", "n", "shared", "asks"), percent)
 
 
+def ask_lists(entries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links found in whole lists (list, class, label, n, held, spare, outside),
+    where the texts outside ask.
+
+    Texts are in bands of sizes, and who asks goes to the bands where its size and
+    place allow a partner.  In a band both sides are cut by hash into parts of
+    half of ``BLOCK_BYTES``, and each part that asks meets each part of texts.
+    """
+    width = math.log(max(100 / percent, 1.05))
+
+    def band(n: Column) -> Column:
+        return F.floor(F.log(n) / width).cast("int")
+
+    def cut(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("list", "band").agg(
+            (F.sum(F.col("held") * 8) / (BLOCK_BYTES / 2)).cast("int").alias(name))
+
+    n = F.col("n")
+    low = F.ceil(n * percent / 100)
+    high = F.least(F.floor(n * 100 / percent), F.floor(F.col("spare") / percent))
+    holders = entries.withColumn("band", band(n))
+    askers = entries.where("outside").withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    grid = cut(holders, "last_text").join(cut(askers, "last_asker"), ["list", "band"])
+
+    def placed(rows: DataFrame, asks: bool, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("class"), F.col(own) + 1).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.col(other)), lambda i: F.struct(
+            F.col("band"), (part if asks else i).alias("asker"), (i if asks else part).alias("text")))
+        return rows.join(grid, ["list", "band"]).select(
+            "list", "class", "label", F.lit(asks).alias("asks"), cells.alias("parts"))
+
+    both = placed(holders, False, "last_text", "last_asker").unionByName(
+        placed(askers, True, "last_asker", "last_text"))
+    return search(both.join(texts.select("class", "n", "shared"), "class").withColumn(
+        "part", F.explode("parts")).select(
+            "list", "part", "class", "label", "n", "shared", "asks"), percent)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links).
@@ -398,23 +455,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75,
     # Lists that hold several components: all texts outside the largest one ask.
     labelled = entries.join(
         labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
-            "label", F.coalesce("label", "class"))
-    held = labelled.groupBy("list", "label").agg(F.count("*").alias("members"))
+            "label", F.coalesce("label", "class")).withColumn("spare", spare(percent))
+    held = labelled.groupBy("list", "label").agg(
+        F.count("*").alias("members"), F.min("n").alias("least"), F.max("spare").alias("most"))
     largest = held.groupBy("list").agg(
-        F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("top")).where("labels > 1")
-    opened = stored(labelled.join(largest, "list").withColumn(
-        "outside", F.col("label") != F.col("top.label")).drop("top", "labels"), "jaccard-open")
-    # Short lists in pairs, as most pairs stand in many of them; long ones as blocks.
+        F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("top"),
+        F.min("least").alias("least"), F.max("most").alias("most")).where("labels > 1")
+    # Only entries that size and place allow to link with any of their list.
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    opened = stored(labelled.join(largest, "list").where(
+        (F.col("most") >= F.col("n") * percent) & (F.col("spare") >= smallest * percent)).withColumn(
+            "outside", F.col("label") != F.col("top.label")).drop("top", "labels", "least", "most"),
+        "jaccard-open")
+    # Short lists in pairs, as most pairs stand in many of them; long ones in bands.
     short = opened.where(F.col("size") <= SMALL_LIST)
     pairs = short.where("outside").alias("a").join(short.alias("b"), "list").where(
         (F.col("a.label") != F.col("b.label")) & (~F.col("b.outside") | (F.col("a.class") < F.col("b.class")))
-        & possible(percent, "a", "b"))
+        & possible(percent, "a", "b") & first_met(percent, "a", "b"))
     long = opened.where(F.col("size") > SMALL_LIST)
     more = ask(blocks_of(pairs.select(
         F.col("a.class").alias("asker"), F.col("a.label").alias("asker_label"),
         F.col("b.class").alias("other"), F.col("b.label").alias("other_label"))), texts, percent
-    ).unionByName(ask(
-        long.select("list", "class", "label", F.col("outside").alias("asks")), texts, percent))
+    ).unionByName(ask_lists(long, texts, percent))
     links = links.unionByName(stored(more, "jaccard-links"))
     del more, pairs, short, long, led
     release(docs.sparkSession)
