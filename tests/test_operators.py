@@ -350,6 +350,18 @@ def test_pages_by_key_reach_any_depth(spark):
         search.page_rows(df, 401, 25)
 
 
+def test_a_search_goes_past_the_numbered_pages(spark, monkeypatch):
+    o, d, u = sale_inputs(spark)
+    out = sales.enrich_users(sales.join_details(o, d), u, "2021-01-12")
+    monkeypatch.setattr(search, "PAGED_ROWS", 1)
+    with pytest.raises(ValueError, match="page_after"):
+        search.search_sales(out, None, None, 2, 1)
+    got = [r.order_detail_id for r in search.search_sales(out, None, None, 1, 1)["detail"].collect()]
+    while page := search.search_sales(out, None, None, 1, 1, after=(got[-1],))["detail"].collect():
+        got += [r.order_detail_id for r in page]
+    assert got == ["a", "b", "c"]
+
+
 def test_search_answer_is_one_object(spark):
     o, d, u = sale_inputs(spark)
     out = sales.enrich_users(sales.join_details(o, d), u, "2021-01-12")

@@ -111,13 +111,18 @@ def region_volume(orders: DataFrame, region: str, amount: str) -> DataFrame:
 
 
 def search_sales(
-    sales: DataFrame, day: str | None, keyword: str | None, page: int, size: int
+    sales: DataFrame, day: str | None, keyword: str | None, page: int, size: int,
+    after: tuple | None = None,
 ) -> dict[str, DataFrame]:
-    """The answer of a sale search: ``total``, ``detail`` and both breakdowns."""
+    """The answer of a sale search: ``total``, ``detail`` and both breakdowns.
+
+    With ``after``, the order values of a page's last row (``order_detail_id``),
+    the detail is the page that follows it, at any depth; ``page`` is not used then.
+    """
     matched = match_sales(sales, day, keyword)
     return {
         "total": total_rows(matched),
-        "detail": page_rows(matched, page, size),
+        "detail": page_rows(matched, page, size) if after is None else page_after(matched, after, size),
         "gender": gender_share(matched),
         "age": age_share(matched),
     }
