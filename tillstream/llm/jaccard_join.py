@@ -81,6 +81,20 @@ def class_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(work, "row_id bigint, class binary, n_shingles bigint")
 
 
+# A payload as suffix_dedup sends it: number of texts, names of the
+# texts (8 bytes), how many hashes each has, and the hashes in text order.
+
+def put(names: np.ndarray, counts: np.ndarray, values: np.ndarray) -> bytes:
+    return struct.pack("<I", len(names)) + names.tobytes() + counts.astype("<u4").tobytes() + values.tobytes()
+
+
+def get(payload: bytes, kind: str = "<u8") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = struct.unpack_from("<I", payload)[0]
+    names = np.frombuffer(payload, "<u8", n, 4)
+    counts = np.frombuffer(payload, "<u4", n, 4 + 8 * n)
+    return names, counts.astype(np.int64), np.frombuffer(payload, kind, offset=4 + 12 * n)
+
+
 # A payload holds one chunk's hashes of one range: number of entries, the text of
 # each (its place in the chunk), how many hashes it has, names of the texts (8 bytes,
 # only on the way out), and the hashes in text order.  Only texts with a hash have
@@ -90,7 +104,7 @@ CHUNK_TEXTS = 1 << 16
 MOST = (1 << 16) - 1
 
 
-def put(counts: np.ndarray, values: np.ndarray, names: np.ndarray | None = None) -> bytes:
+def put_range(counts: np.ndarray, values: np.ndarray, names: np.ndarray | None = None) -> bytes:
     """``counts`` has the number of hashes of the chunk's texts, by place."""
     there = np.flatnonzero(counts)
     times = -(-counts[there] // MOST)
@@ -102,7 +116,7 @@ def put(counts: np.ndarray, values: np.ndarray, names: np.ndarray | None = None)
     return struct.pack("<I", len(texts)) + texts.astype("<u2").tobytes() + each.tobytes() + named + values.tobytes()
 
 
-def get(payload: bytes, kind: str = "<u8", named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def get_range(payload: bytes, kind: str = "<u8", named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text of each hash, name of each hash's text (empty if not sent), hashes."""
     n = struct.unpack_from("<I", payload)[0]
     texts = np.frombuffer(payload, "<u2", n, 4).astype(np.int64)
@@ -130,7 +144,7 @@ def range_payloads(docs: DataFrame, size: int, ranges: int) -> DataFrame:
         edges = np.searchsorted(where, np.arange(ranges + 1))
         there = np.flatnonzero(np.diff(edges)).tolist()
         payloads = [
-            put(np.bincount(text[a:b]), values[a:b], names)
+            put_range(np.bincount(text[a:b]), values[a:b], names)
             for a, b in zip(edges[there].tolist(), edges[np.array(there) + 1].tolist())
         ]
         totals = np.array([len(s) for s in sets.values()], dtype="<u4").tobytes()
@@ -169,7 +183,7 @@ def shared_shingles(payloads: DataFrame) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         if table.column("range")[0].as_py() < 0:
             return table.select(["chunk", "classes", "payload"])
-        parts = [get(p, named=True) for p in table.column("payload").to_pylist()]
+        parts = [get_range(p, named=True) for p in table.column("payload").to_pylist()]
         values = np.concatenate([p[2] for p in parts])
         owner = np.concatenate([p[1] for p in parts])
         order = np.argsort(values, kind="stable")
@@ -190,7 +204,7 @@ def shared_shingles(payloads: DataFrame) -> DataFrame:
             pairs = np.empty(int(keep.sum()), dtype=PAIR)
             pairs["hash"], pairs["holders"] = own[keep], mine[keep]
             chunks.append(chunk)
-            out.append(put(np.bincount(text[keep]), pairs))
+            out.append(put_range(np.bincount(text[keep]), pairs))
         return pa.table({"chunk": pa.array(chunks, pa.int64()),
                          "classes": pa.nulls(len(out), pa.binary()), "payload": pa.array(out, pa.binary())})
 
@@ -209,7 +223,7 @@ def candidate_texts(shared: DataFrame, percent: int) -> DataFrame:
         rows = list(zip(table.column("classes").to_pylist(), table.column("payload").to_pylist()))
         classes, totals = next(r for r in rows if r[0] is not None)
         total = np.frombuffer(totals, "<u4").astype(np.int64)
-        parts = [get(p, PAIR) for c, p in rows if c is None]
+        parts = [get_range(p, PAIR) for c, p in rows if c is None]
         pairs = np.concatenate([np.empty(0, dtype=PAIR), *(p[2] for p in parts)])
         text = np.concatenate([np.empty(0, dtype=np.int64), *(p[0] for p in parts)])
         order = np.lexsort((pairs["hash"], pairs["holders"], text))
