@@ -11,9 +11,10 @@ from tillstream.operators import alerts, dedup
 from tillstream.operators.routing import Topics
 from tillstream.sources.streams import file_stream, read_lines
 from tillstream.sources.tables import read_latest, read_table, roll_up, write_batch
-from tillstream.streaming import jobs
+from tillstream.streaming import jobs, metrics
 from tillstream.streaming.alerts import read_alerts, read_members
-from tillstream.streaming.sales import join_streams
+from tillstream.streaming.hours import read_days, read_hours, with_hours
+from tillstream.streaming.sales import join_late_users, join_streams
 
 ONE_FILE = {"maxFilesPerTrigger": "1"}
 STORED = {"written_at", "writer", "batch_id"}
@@ -375,3 +376,124 @@ def test_kafka_needs_its_package(spark):
 
     with pytest.raises(AnalysisException, match="(?i)kafka"):
         kafka_stream(spark, "localhost:1", "startup_log")
+
+
+def test_alerts_come_without_a_later_record(spark, feed, tmp_path):
+    """The last record's watermark closes windows long before it; nothing follows."""
+    folder = feed("in", g.ALERT_LINES, g.ALERT_CLOSING[:1])
+    path = str(tmp_path / "alerts")
+    run(jobs.alert_job, file_stream(spark, folder, ONE_FILE), path,
+        lateness="60 seconds", name="alerts", tmp_path=tmp_path)
+    assert alert_keys(read_alerts(spark, path)) == g.ALERTS
+
+
+def test_a_window_is_closed_by_the_watermark_alone(spark, feed, tmp_path):
+    """A feed that ends a minute after its records: windows up to then are out,
+    though no slide step between them holds a record."""
+    end = max(json.loads(line)["ts"] for line in g.ALERT_LINES)
+    late = json.dumps({**json.loads(g.ALERT_LINES[-1]), "mid": "m9", "ts": end + 71_000})
+    path = str(tmp_path / "alerts")
+    run(jobs.alert_job, file_stream(spark, feed("in", g.ALERT_LINES, [late]), ONE_FILE), path,
+        lateness="10 seconds", name="alerts", tmp_path=tmp_path)
+    steps = read_table(spark, f"{path}/steps")
+    closed = (end + 61_000) // 5_000 * 5_000
+    assert steps.where("kind = 'clock'").agg(F.max("at")).first()[0] == closed
+    assert steps.where("kind <> 'clock'").agg(F.max("at")).first()[0] <= end + 5_000
+
+
+def test_batch_counts_are_stored(spark, feed, tmp_path):
+    counts = metrics.BatchCounts(spark, str(tmp_path / "counts"))
+    spark.streams.addListener(counts)
+    try:
+        query = run(jobs.active_device_job, file_stream(spark, feed("in", *g.FIRST_FILES), ONE_FILE),
+                    str(tmp_path / "dau"), name="dau", tmp_path=tmp_path)
+        counts.wait(query.runId)
+    finally:
+        spark.streams.removeListener(counts)
+    rows = metrics.batch_counts(spark, str(tmp_path / "counts")).collect()
+    assert {r.query for r in rows} == {str(query.id)}
+    total = {name: sum(r.records for r in rows if r.name == name)
+             for name in ("startup_records", "new_records")}
+    assert total == {"startup_records": 7, "new_records": 5}
+    assert sorted(r.nth for r in rows if r.name == "startup_records") == [1, 2, 3]
+
+
+def test_hours_beside_the_detail(spark, feed, tmp_path):
+    path, hours = str(tmp_path / "orders"), str(tmp_path / "hours")
+    lines = feed("in", [g.order("1"), g.order("2", total_amount="0.1")],
+                 [g.order("3", total_amount="0.2", create_time="2021-01-09 06:00:00")])
+    run(jobs.order_job, file_stream(spark, lines, ONE_FILE), path, hours=hours, name="orders",
+        tmp_path=tmp_path)
+    assert {tuple(r) for r in read_hours(spark, hours).collect()} == {
+        ("2021-01-09", "05", 2, 59.1), ("2021-01-09", "06", 1, 0.2)}
+    assert [tuple(r) for r in read_days(spark, hours).collect()] == [("2021-01-09", 3, 59.3)]
+    # A batch that was stored but not yet counted is counted by its retry, once.
+    detail = read_table(spark, path).where("batch_id = 0")
+    write = with_hours(lambda rows, number: None, hours, "create_date", "create_hour", "total_amount")
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", "another")
+    try:
+        for _ in range(2):
+            write(detail, 0)
+    finally:
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+    assert [tuple(r) for r in read_days(spark, hours).collect()] == [("2021-01-09", 5, 118.4)]
+
+
+def test_a_hot_order_of_updates_stays_in_order(spark, feed, tmp_path):
+    """All updates of a user lie in one file a batch, in the order of the feed."""
+    folder = feed("in", [change("user_info", "UPDATE", {"id": str(i % 3), "n": str(i)},
+                                {"id": str(i % 3), "n": str(i) + "b"}) for i in range(60)])
+    path = str(tmp_path / "topics")
+    run(jobs.change_router_job, file_stream(spark, folder), path, name="cdc", tmp_path=tmp_path)
+    log = read_table(spark, path).select(
+        "key", "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("at")).collect()
+    for key in "012":
+        mine = sorted((r for r in log if r.key == key), key=lambda r: r.at)
+        assert len({r.file for r in mine}) == 1
+        assert [json.loads(r.value)["n"] for r in mine] == [
+            n for i in range(int(key), 60, 3) for n in (str(i), f"{i}b")]
+
+
+def test_users_upserted_and_looked_up(spark, feed, tmp_path):
+    users = jobs.user_table(spark, str(tmp_path / "user_table"), buckets=4)
+    run(jobs.user_job, file_stream(spark, feed(
+        "users", [g.user("5"), g.user("6", gender="M")], [g.user("5", user_level="3")],
+    ), ONE_FILE), "", table=users, name="users", tmp_path=tmp_path)
+    assert {r.id: r.user_level for r in users.current().collect()} == {"5": "3", "6": "1"}
+    now, path = time.time(), str(tmp_path / "sales")
+    run(jobs.sale_job, file_stream(spark, feed("orders", [g.order("1"), g.order("2", user="99")], start=now)),
+        file_stream(spark, feed("details", [g.detail("10", "1"), g.detail("12", "2")], start=now)),
+        users, path, as_of="2021-01-12", name="sales", tmp_path=tmp_path)
+    rows = {r.order_detail_id: (r.user_gender, r.user_level) for r in read_table(spark, path).collect()}
+    assert rows == {"10": ("F", "3"), "12": (None, None)}
+
+
+def test_users_that_come_late(spark, feed, tmp_path):
+    """Known before the sale, after it, after the limit, and never."""
+    base = g.ms(g.BASE)
+
+    def stream(name, schema, *files):
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(feed(name, *files))
+        return rows.withColumn("time", F.timestamp_millis("t"))
+
+    sale = "order_id string, user_id string, t long"
+    sold = stream("sales", sale, *[
+        [json.dumps({"order_id": f"s{u}", "user_id": u, "t": base}) for u in "abcd"],
+        [json.dumps({"order_id": "end", "user_id": "z", "t": base + 900_000})]])
+    sold = sold.select(
+        F.col("order_id").alias("order_detail_id"), "order_id", "user_id",
+        *[F.lit("x").alias(c) for c in ("order_status", "create_time", "sku_id", "sku_name", "dt")],
+        F.lit(1.0).alias("sku_price"), F.col("time").alias("sale_time"))
+    came = stream("users", "id string, t long", [
+        json.dumps({"id": "a", "t": base - 50_000}), json.dumps({"id": "b", "t": base + 90_000}),
+        json.dumps({"id": "c", "t": base + 200_000})],
+        [json.dumps({"id": "y", "t": base + 900_000})])
+    came = came.select(
+        "id", F.lit("F").alias("gender"), F.lit("1990-01-01").alias("birthday"),
+        F.lit("2").alias("user_level"), F.col("time").alias("user_time"))
+    query = join_late_users(sold, came, as_of="2021-01-12").writeStream.format("memory").queryName(
+        "late_users").trigger(availableNow=True).start()
+    finish(query)
+    rows = sorted((r.order_id, r.user_gender, r.user_age) for r in spark.table("late_users").collect())
+    assert rows == [("sa", "F", 31), ("sb", "F", 31), ("sc", None, 0), ("sd", None, 0)]

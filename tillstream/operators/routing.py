@@ -7,6 +7,7 @@ of one entity in order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,7 @@ def route_logs(
     clock: Column | None = None,
     topics: Topics = Topics(),
     value: str = "value",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Stamp each JSON log with the arrival time and choose its topic.
 
@@ -54,7 +56,7 @@ def route_logs(
     rows = lines.select(
         F.map_filter(body, lambda k, _: k != "ts").alias("_body"),
         F.parse_json(now.cast("string")).alias("_ts"),
-        F.col(value).alias("_raw"),
+        F.col(value).alias("_raw"), *carry,
     )
     stamped = F.to_json(F.map_concat("_body", F.create_map(F.lit("ts"), F.col("_ts"))))
 
@@ -64,7 +66,7 @@ def route_logs(
     return rows.select(
         F.when(F.col("_body").isNotNull(), log_topic(text("type"), topics)).alias("topic"),
         text("mid").alias("key"),
-        F.coalesce(stamped, F.col("_raw")).alias("value"),
+        F.coalesce(stamped, F.col("_raw")).alias("value"), *carry,
     )
 
 
@@ -79,11 +81,20 @@ def change_topic(table: Column, event: Column, topics: Topics = Topics()) -> Col
 
 
 def route_changes(
-    changes: DataFrame, topics: Topics = Topics(), key: str = "id"
+    changes: DataFrame, topics: Topics = Topics(), key: str = "id", carry: Sequence[str] = ()
 ) -> DataFrame:
     """Keep the change rows some topic wants, as JSON of their after-image."""
     return changes.select(
         change_topic(F.col("table_name"), F.col("event_type"), topics).alias("topic"),
         F.col("after")[key].alias("key"),
-        F.to_json("after").alias("value"),
+        F.to_json("after").alias("value"), *carry,
     ).where(F.col("topic").isNotNull())
+
+
+def in_key_order(routed: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows of one topic and key in one task, in the order of the feed.
+
+    A producer sends the rows of a task one after the other, so a key's rows
+    arrive in that order.  Order is per key: a key is never in two tasks.
+    """
+    return routed.repartition("topic", "key").sortWithinPartitions("topic", "key", *order)

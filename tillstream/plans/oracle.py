@@ -380,14 +380,10 @@ ORACLES = {
         from orders group by 1""",
 }
 
-# A streamed alert is final once the watermark has passed every window of its
-# grain; alerts the stream may still revise are not emitted yet.
+# A streamed alert is final once the watermark has passed its window.
 _CLOSED = f"""
   window_end <= (
-    select max((epoch_us(ts) // 1000 // {batch.DAY_RULE.slide_ms} + 1) * {batch.DAY_RULE.slide_ms})
-      filter ((epoch_us(ts) // 1000 // {batch.DAY_RULE.slide_ms} + 1) * {batch.DAY_RULE.slide_ms}
-        <= (select epoch_us(max(ts)) // 1000 - {stream.LATENESS_HOURS} * 3600000 from events))
-    from events)
+    select epoch_us(max(ts)) // 1000 - {stream.LATENESS_HOURS} * 3600000 from events)
 """
 
 ORACLES.update({
@@ -397,3 +393,65 @@ ORACLES.update({
     "stream_coupon_alert": _alerts(batch.DAY_RULE, _CLOSED),
     "stream_alert_members": _members(batch.DAY_RULE, _CLOSED),
 })
+
+def _slot(column: str, cuts: tuple[str, ...]) -> str:
+    return " + ".join(f"({column} >= timestamp '{cut}')::int" for cut in cuts) + " + 1"
+
+
+_WATERMARK = f"""
+  select least((select max(o_orderdate) from orders), {{other}})
+         - interval {stream.SALE_LATENESS} as w
+"""
+
+# Buyers come at a time made from their id.
+_LATE_USERS = f"""
+  with u as (
+    select *, timestamp '1995-01-01' + to_days((user_id * 37 % 2400)::int) as came
+    from ({_USERS}) u),
+  mark as ({_WATERMARK.format(other='(select max(came) from u)')}),
+  met as (
+    select o.*, u.user_gender, u.age, u.user_level, u.user_id is not null as known
+    from ({_ORDERS}) o left join u on o.user_id = u.user_id
+      and u.came <= o.order_time + interval {stream.LATE_WAIT}
+      and u.came >= o.order_time - interval {stream.LATE_REACH})
+  select id as order_id, user_id, user_gender, coalesce(age, 0) as user_age, user_level, dt
+  from met where known or order_time + interval {stream.LATE_WAIT} < (select w from mark)
+"""
+
+ORACLES.update({
+    "stream_alert_replay": ORACLES["stream_coupon_alert"],
+    "stream_sale_expiry": ORACLES["sale_detail_ttl"],
+    "stream_sale_state": f"""
+        with mark as ({_WATERMARK.format(other='(select max(l_shipdate) from lineitem)')}),
+        held as (
+            select 'left' as side, o_orderdate as t from orders
+            union all select 'right', l_shipdate from lineitem)
+        select side, count(*) as rows, {_day('min(t)')} as oldest from held, mark
+        where t >= w - interval {stream.SALE_TTL} group by side""",
+    "stream_batch_counts": f"""
+        with firsts as ({_FIRSTS})
+        select ({_slot('ts', stream.EVENT_CUTS)})::int as nth, 'log_records' as name,
+               count(*) as records
+        from events group by 1
+        union all
+        select ({_slot('ts', stream.EVENT_CUTS)})::int, 'first_records', count(*)
+        from firsts group by 1""",
+    "stream_dau_hours": ORACLES["dau_hourly"],
+    "stream_amount_hours": ORACLES["gmv_hourly"],
+    "stream_change_order": f"""
+        select 'people' as topic, user_id::varchar as key, event_id::varchar as event_id,
+               row_number() over (partition by user_id order by
+                   {_slot('ts', stream.EVENT_CUTS)}, event_id)::int as nth
+        from events""",
+    "stream_late_users": _LATE_USERS,
+    "keyed_latest_user": ORACLES["latest_user"],
+    "keyed_buyers": f"""
+        select o.id as order_id, o.user_id, u.user_gender, coalesce(u.age, 0) as user_age,
+               u.user_level, o.dt
+        from ({_ORDERS}) o left join ({_USERS}) u on o.user_id = u.user_id
+        where o.dt = '{batch.SEARCH_DAY}'""",
+    "keyed_amount_hours": f"""
+        select {_day('ts')} as create_date, {_hour('ts')} as create_hour, count(*) as records,
+               {_MONEY.format('value')} as amount
+        from events where event_type = 'purchase' group by 1, 2""",
+})

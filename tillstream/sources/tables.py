@@ -35,22 +35,26 @@ def writer_id(batch: DataFrame) -> str:
 
 def write_batch(
     batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (),
-    writer: str | None = None,
+    writer: str | None = None, key: str | None = None, order: Sequence[str] = (),
 ) -> None:
     """Write one batch, replacing an earlier try of the same writer and batch.
 
     The rebalance hint gives adaptive execution the say over file sizes: small
-    batches become few files, a day that holds everything is still split.
+    batches become few files, a day that holds everything is still split.  With
+    ``key`` all rows of one key go to one file instead, sorted by ``order``.
     """
     layout = [*partition_by, WRITER, BATCH]
+    rows = batch.withColumns({
+        WRITTEN: F.current_timestamp(),
+        WRITER: F.lit(writer or writer_id(batch)),
+        BATCH: F.lit(batch_id).cast("bigint"),
+    })
+    if key is None:
+        rows = rows.hint("rebalance", *partition_by)
+    else:  # sorted by the folders first, so that writing them needs no sort of its own
+        rows = rows.repartition(*partition_by, key).sortWithinPartitions(*layout, key, *order)
     (
-        batch.withColumns({
-            WRITTEN: F.current_timestamp(),
-            WRITER: F.lit(writer or writer_id(batch)),
-            BATCH: F.lit(batch_id).cast("bigint"),
-        })
-        .hint("rebalance", *partition_by)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*layout)
         .parquet(path)

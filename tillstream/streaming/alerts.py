@@ -4,19 +4,24 @@ The state holds one row per device, member and slide step, and nothing per
 window.  Steps that the watermark has closed are stored, and the windows they
 complete are counted by the batch plan of ``operators.alerts``, which gives the
 alerts with everything they list.
+
+Every record also says how far the watermark will go because of it: a ``clock``
+row in the slide step that ends there.  The aggregation gives that row out once
+the watermark has arrived, in a batch without records as well, so windows are
+closed by the watermark and not by the next record.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillstream.operators.alerts import (
     AlertRule, alert_members, alerts_from, merged_spans,
 )
-from tillstream.operators.dedup import latest_record
-from tillstream.sources.tables import BATCH, WRITER, WRITTEN, read_table, write_batch, writer_id
+from tillstream.sources.keyed import KeyedTable
+from tillstream.sources.tables import BATCH, WRITER, read_table, write_batch, writer_id
 
 STEPS = T.StructType([
     T.StructField("mid", T.StringType()), T.StructField("kind", T.StringType()),
@@ -42,26 +47,37 @@ def step_members(
     """Members per slide step, once the watermark has passed it: ``STEPS`` rows.
 
     ``at`` is the end of the step.  Kinds are ``user`` and ``item`` of coupon
-    records and ``event`` of all records; ``n`` counts repeats.
+    records and ``event`` of all records; ``n`` counts repeats.  A row of kind
+    ``clock``, without device and member, says that the watermark has passed
+    ``at``; the largest of a batch is the watermark rounded down to a step.
     """
-    is_coupon = F.col(rule.event) == rule.coupon
-    entries = F.inline(F.array(
-        F.struct(F.lit("user").alias("kind"),
-                 F.when(is_coupon, F.col(rule.user).cast("string")).alias("member")),
-        F.struct(F.lit("item").alias("kind"),
-                 F.when(is_coupon, F.col(rule.item).cast("string")).alias("member")),
-        F.struct(F.lit("event").alias("kind"), F.col(rule.event).alias("member")),
-    ))
+    timed = events.where(F.col(rule.device).isNotNull()).select(
+        F.col(rule.ts).cast("timestamp").alias("_time"),
+        F.col(rule.device).cast("string").alias("mid"),
+        F.col(rule.user).cast("string").alias("uid"),
+        F.col(rule.item).cast("string").alias("itemid"), F.col(rule.event).alias("evid"),
+    ).withWatermark("_time", lateness)
+    is_coupon = F.col("evid") == rule.coupon
+    reached = F.unix_millis(F.col("_time") - F.expr(f"INTERVAL {lateness}"))
+    clock = F.timestamp_millis(reached - F.pmod(reached, F.lit(rule.slide_ms)) - rule.slide_ms)
+
+    def entry(kind: str, mid: Column, member: Column, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), mid.alias("mid"),
+                        member.alias("member"), at.alias("at"))
+
+    none = F.lit(None).cast("string")
+    mid, time = F.col("mid"), F.col("_time")
+    entries = timed.select(F.inline(F.array(
+        entry("user", mid, F.when(is_coupon, F.col("uid")), time),
+        entry("item", mid, F.when(is_coupon, F.col("itemid")), time),
+        entry("event", mid, F.col("evid"), time),
+        entry("clock", none, none, clock),
+    )))
+    # The steps of all entries are under the watermark of the records' time.
+    marked = F.col("at").alias("_time", metadata=timed.schema["_time"].metadata)
     return (
-        events.where(F.col(rule.device).isNotNull())
-        .select(
-            F.col(rule.ts).cast("timestamp").alias("_time"),
-            F.col(rule.device).cast("string").alias("mid"),
-            F.col(rule.user), F.col(rule.item), F.col(rule.event),
-        )
-        .withWatermark("_time", lateness)
-        .select("_time", "mid", entries)
-        .where(F.col("member").isNotNull() | (F.col("kind") == "event"))
+        entries.where(F.col("member").isNotNull() | F.col("kind").isin("event", "clock"))
+        .select("kind", "mid", "member", marked)
         .groupBy(F.window("_time", f"{rule.slide_ms} milliseconds").alias("step"),
                  "mid", "kind", "member")
         .agg(F.count("*").alias("n"))
@@ -72,7 +88,8 @@ def step_members(
 
 def pieces_until(steps: DataFrame, rule: AlertRule, closed: int) -> DataFrame:
     """Pieces of the windows that end at ``closed`` (epoch milliseconds) or before."""
-    taken = steps.where(F.col("kind") != "event").select("mid", "kind", "member", "at").distinct()
+    taken = steps.where(F.col("kind").isin("user", "item")).select(
+        "mid", "kind", "member", "at").distinct()
     spans = merged_spans(taken, rule).withColumn("n", F.lit(1).cast("bigint"))
     events = steps.where(F.col("kind") == "event").groupBy(
         "mid", "kind", "member", F.col("at").alias("start")
@@ -82,12 +99,23 @@ def pieces_until(steps: DataFrame, rule: AlertRule, closed: int) -> DataFrame:
         F.col("start") < F.col("end"))
 
 
+def alert_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Current alerts: one row per device and minute, that of its last window."""
+    return KeyedTable(spark, f"{path}/alerts", ALERTS, ("alert_date", "doc_id"), ("window_end",))
+
+
+def member_table(spark: SparkSession, path: str) -> KeyedTable:
+    """What alerts list; rows of a window that a later one replaced may remain."""
+    return KeyedTable(spark, f"{path}/members", MEMBERS,
+                      ("alert_date", "doc_id", "kind", "member"), ("window_end",))
+
+
 def alert_writer(path: str, rule: AlertRule):
-    """Batch writer: stores closed steps under ``path/steps`` and the alerts of
-    the windows they complete under ``path/alerts`` and ``path/members``.
+    """Batch writer: stores closed steps under ``path/steps`` and upserts the
+    alerts of the windows they complete, and their members, by document id.
 
-    Windows up to the last closed step are final.  A minute that is complete
-    only in part gives its last alert so far, which a later batch replaces.
+    Windows up to the watermark are final.  A minute that is complete only in
+    part gives its last alert so far, which a later batch replaces.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -97,7 +125,9 @@ def alert_writer(path: str, rule: AlertRule):
             closed = batch.agg(F.max("at").alias("at")).first()["at"]
             if closed is None:
                 return
-            write_batch(batch, f"{path}/steps", batch_id, ["step_date"], me)
+            # Of the clock only its last row is worth keeping.
+            kept = batch.where((F.col("kind") != "clock") | (F.col("at") == closed))
+            write_batch(kept, f"{path}/steps", batch_id, ["step_date"], me)
         finally:
             batch.unpersist()
         mine = read_table(spark, f"{path}/steps", STEPS).where(F.col(WRITER) == me)
@@ -114,27 +144,28 @@ def alert_writer(path: str, rule: AlertRule):
         pieces = pieces_until(known, rule, closed)
         found = alerts_from(pieces, rule).where(F.col("window_end") > (before or 0)).select(
             *ALERTS.fieldNames())
-        write_batch(found, f"{path}/alerts", batch_id, ["alert_date"], me)
-        stored = read_table(spark, f"{path}/alerts", ALERTS).where(
-            (F.col(WRITER) == me) & (F.col(BATCH) == batch_id)).drop(WRITTEN, WRITER, BATCH)
-        members = alert_members(stored, pieces, rule).join(
-            stored.select("doc_id", "window_end"), "doc_id").select(*MEMBERS.fieldNames())
-        write_batch(members, f"{path}/members", batch_id, ["alert_date"], me)
+        found.persist()
+        try:
+            members = alert_members(found, pieces, rule).join(
+                found.select("doc_id", "window_end"), "doc_id").select(*MEMBERS.fieldNames())
+            # Members first: an alert that can be read has all it lists.
+            member_table(spark, path).upsert(members, me, batch_id)
+            alert_table(spark, path).upsert(found, me, batch_id)
+        finally:
+            found.unpersist()
 
     return write
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """The alerts: per device and minute that of its last window."""
-    rows = latest_record(
-        read_table(spark, f"{path}/alerts", ALERTS), ["alert_date", "doc_id"],
-        ["window_end", WRITTEN, BATCH])
-    return rows.select("doc_id", "alert_date", "mid", "window_end", "users", "items", "events")
+    return alert_table(spark, path).current().select(
+        "doc_id", "alert_date", "mid", "window_end", "users", "items", "events")
 
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:
     """What each alert lists: ``doc_id, alert_date, kind, member, n``."""
     last = read_alerts(spark, path).select("alert_date", "doc_id", "window_end")
-    return read_table(spark, f"{path}/members", MEMBERS).join(
+    return member_table(spark, path).current().join(
         last, ["alert_date", "doc_id", "window_end"]
-    ).select("doc_id", "alert_date", "kind", "member", "n").distinct()
+    ).select("doc_id", "alert_date", "kind", "member", "n")

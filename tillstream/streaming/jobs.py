@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,13 +19,15 @@ from tillstream.functions import records, times
 from tillstream.functions.text import upper_names
 from tillstream.operators.alerts import AlertRule
 from tillstream.operators.orders import prepare_orders
-from tillstream.operators.routing import Topics, route_changes, route_logs
+from tillstream.operators.routing import Topics, in_key_order, route_changes, route_logs
 from tillstream.operators.sales import enrich_users
 from tillstream.session import checkpoint_root
 from tillstream.sources.changefeed import change_rows, parse_entries
+from tillstream.sources.keyed import KeyedTable, keyed_writer
 from tillstream.sources.tables import write_batch
 from tillstream.streaming.alerts import alert_writer, step_members
 from tillstream.streaming.dedup import first_seen_stream
+from tillstream.streaming.hours import with_hours
 from tillstream.streaming.sales import join_streams
 
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
@@ -127,10 +129,11 @@ def startup_rows(lines: DataFrame) -> DataFrame:
 
 def active_device_job(
     lines: DataFrame, path: str, keep: str = "2 days", upper: bool = False,
-    quarantine: str | None = None, name: str = "active_devices", **run,
+    quarantine: str | None = None, name: str = "active_devices", hours: str | None = None, **run,
 ) -> StreamingQuery:
     """Startup logs to the table of first starts per device and day.
 
+    With ``hours`` the number of devices per day and hour is kept there.
     ``upper`` stores the columns under upper-case names.  With ``quarantine`` a
     second query, ``<name>_bad``, stores the bad lines.
     """
@@ -140,18 +143,19 @@ def active_device_job(
     first = counted(
         first_seen_stream(rows, ["logDate", "mid"], "event_time", keep), "new_records"
     )
-    return start(
-        first.select(*schemas.DAU_COLUMNS), name,
-        table_writer(path, ["logDate"], upper), mode="update", **run,
-    )
+    write = table_writer(path, ["logDate"], upper)
+    if hours:
+        write = with_hours(write, hours, "logDate", "logHour")
+    return start(first.select(*schemas.DAU_COLUMNS), name, write, mode="update", **run)
 
 
 def order_job(
     lines: DataFrame, path: str, quarantine: str | None = None, name: str = "orders",
-    **run,
+    hours: str | None = None, **run,
 ) -> StreamingQuery:
     """Order rows, masked and dated, to the order table.
 
+    With ``hours`` the number and amount of deliveries per day and hour is kept there.
     Read it with ``read_latest(..., ["id"])`` for one row per order, or with
     ``read_table`` for every delivery.
     """
@@ -159,34 +163,58 @@ def order_job(
     ready = prepare_orders(parsed).select(
         *schemas.ORDER_COLUMNS, records.BAD, records.RAW
     )
-    write = _with_quarantine(table_writer(path, ["create_date"]), quarantine)
+    store = table_writer(path, ["create_date"])
+    if hours:
+        store = with_hours(store, hours, "create_date", "create_hour", "total_amount")
+    write = _with_quarantine(store, quarantine)
     return start(counted(ready, "order_records"), name, write, **run)
 
 
+def feed_place(lines: DataFrame) -> list[str]:
+    """The columns that tell where a line stands in its feed."""
+    return [c for c in ("offset", "ingest_time", "file_block") if c in lines.columns]
+
+
+def with_seq(batch: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Rows of a batch with ``seq``, their order in the feed, for their place in it.
+
+    That is the offset, or the time and block of the file; rows of one line or
+    block keep the order that they have in a partition of the batch.
+    """
+    row = F.monotonically_increasing_id()
+    parts = [F.unix_micros(c) if c == "ingest_time" else F.col(c).cast("bigint") for c in place]
+    if "offset" in place:
+        parts = [F.col("offset").cast("bigint")]
+    return batch.withColumn("seq", F.array(*parts, row)).drop(*place)
+
+
+def user_table(spark: SparkSession, path: str, buckets: int = 16) -> KeyedTable:
+    """Current users by id, for ``user_job`` and ``sale_job``."""
+    schema = T.StructType([*schemas.USER_INFO, T.StructField("seq", T.ArrayType(T.LongType()))])
+    return KeyedTable(spark, path, schema, ("id",), ("seq",), buckets)
+
+
 def user_job(
     lines: DataFrame, path: str, quarantine: str | None = None, name: str = "users",
-    **run,
+    table: KeyedTable | None = None, **run,
 ) -> StreamingQuery:
     """User inserts and updates to the user table; the last write wins.
 
+    With ``table`` (see ``user_table``) they are upserted there, in the buckets
+    of their keys; otherwise every write is kept under ``path``.
+
     The order of arrival is the ``seq`` column, an array: the Kafka offset
     (updates of one user share a partition), or the file's time, block and line.
     Read the table with ``read_latest(..., ["id"], ["seq"])``.
     """
-    if "offset" in lines.columns:
-        seq = F.array(F.col("offset").cast("bigint"))
-    else:
-        # Lines of a block keep their order in a batch's partition.
-        seq = F.array(F.unix_micros("ingest_time"), F.col("file_block").cast("bigint"),
-                      F.monotonically_increasing_id())
     names = [f.name for f in schemas.USER_INFO]
-    place = [c for c in ("offset", "ingest_time", "file_block") if c in lines.columns]
+    place = feed_place(lines)
     parsed = records.parse_lines(lines, schemas.USER_INFO, ("id",)).select(
         *names, *place, records.BAD, records.RAW)
-    store = table_writer(path)
+    store = keyed_writer(table, name) if table is not None else table_writer(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store(batch.withColumn("seq", seq).drop(*place), batch_id)
+        store(with_seq(batch, place), batch_id)
 
     return start(parsed, name, _with_quarantine(write, quarantine), **run)
 
@@ -194,7 +222,7 @@ def user_job(
 def sale_job(
     order_lines: DataFrame,
     detail_lines: DataFrame,
-    users: Callable[[], DataFrame],
+    users: Callable[[], DataFrame] | KeyedTable,
     path: str,
     as_of: str | None = None,
     ttl: str = "100 seconds",
@@ -206,7 +234,8 @@ def sale_job(
 ) -> StreamingQuery:
     """Join both feeds by arrival time, add the buyer, store by day.
 
-    ``users`` is called per batch, so updates of the user table are seen.  With
+    ``users`` is called per batch, so updates of the user table are seen; of a
+    keyed table only the buckets of a batch's buyers are read.  With
     ``quarantine`` second queries store the bad lines of both feeds.
     """
     orders = prepare_orders(
@@ -223,7 +252,15 @@ def sale_job(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(enrich_users(batch, users(), as_of), path, batch_id, ["dt"])
+        batch.persist()
+        try:
+            if isinstance(users, KeyedTable):
+                known = users.lookup(batch.select(F.col("user_id").alias("id")))
+            else:
+                known = users()
+            write_batch(enrich_users(batch, known, as_of), path, batch_id, ["dt"])
+        finally:
+            batch.unpersist()
 
     return start(sales, name, write, **run)
 
@@ -250,18 +287,24 @@ def alert_job(
 
 
 def _topic_writer(
-    kafka: dict[str, str] | None, path: str | None, quarantine: str | None
+    kafka: dict[str, str] | None, path: str | None, quarantine: str | None,
+    place: Sequence[str],
 ) -> BatchWriter:
-    """Routed rows to their topics, lines without a topic to the quarantine."""
+    """Routed rows to their topics, lines without a topic to the quarantine.
+
+    The rows of a key keep the order of the feed: they are produced by one task,
+    or lie in one file a batch, sorted by ``seq``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = with_seq(batch, place).persist()
         try:
             routed = batch.where(F.col("topic").isNotNull())
             if kafka:
-                routed.write.format("kafka").options(**kafka).save()
+                rows = in_key_order(routed, ["seq"]).select("topic", "key", "value")
+                rows.write.format("kafka").options(**kafka).save()
             else:
-                write_batch(routed, path, batch_id, ["topic"])
+                write_batch(routed, path, batch_id, ["topic"], key="key", order=["seq"])
             if quarantine:
                 lost = batch.where(F.col("topic").isNull()).select("value")
                 write_batch(lost, quarantine, batch_id)
@@ -277,8 +320,9 @@ def log_router_job(
 ) -> StreamingQuery:
     """Stamp and route raw logs, to Kafka or to a folder per topic; lines that
     are not JSON objects go to ``quarantine``."""
-    routed = route_logs(lines, topics=topics)
-    return start(routed, name, _topic_writer(kafka, path, quarantine), **run)
+    place = feed_place(lines)
+    routed = route_logs(lines, topics=topics, carry=place)
+    return start(routed, name, _topic_writer(kafka, path, quarantine, place), **run)
 
 
 def change_router_job(
@@ -291,14 +335,17 @@ def change_router_job(
     With ``database`` only its tables count; lines that are not change entries
     go to ``quarantine``.
     """
+    place = feed_place(lines)
     entry = F.from_json("value", schemas.CHANGE_ENTRY)
     parsed = lines.select("value", (
-        entry.isNull() | entry["entry_type"].isNull()).alias("_lost"))
-    routed = route_changes(
-        change_rows(parse_entries(parsed.where(~F.col("_lost"))), database), topics)
+        entry.isNull() | entry["entry_type"].isNull()).alias("_lost"), *place)
+    entries = parse_entries(parsed.where(~F.col("_lost")), carry=place)
+    routed = route_changes(change_rows(entries, database, place), topics, carry=place)
     lost = parsed.where(F.col("_lost")).select(
-        F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("key"), "value")
-    return start(routed.unionByName(lost), name, _topic_writer(kafka, path, quarantine), **run)
+        F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("key"),
+        "value", *place)
+    return start(
+        routed.unionByName(lost), name, _topic_writer(kafka, path, quarantine, place), **run)
 
 
 def console_job(rows: DataFrame, n: int, name: str = "console", **run) -> StreamingQuery:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.operators.sales import sale_columns, ttl_condition
+from tillstream.operators.sales import SALE_ORDER, age_years, sale_columns, ttl_condition
 
 
 def join_streams(
@@ -44,3 +44,31 @@ def join_streams(
         & ttl_condition(F.col(f"o.{order_time}"), F.col(f"d.{detail_time}"), ttl)
     )
     return left.alias("o").join(right.alias("d"), match, "inner").select(*sale_columns())
+
+
+def join_late_users(
+    sales: DataFrame,
+    users: DataFrame,
+    sale_time: str = "sale_time",
+    user_time: str = "user_time",
+    wait: str = "100 seconds",
+    reach: str = "1 day",
+    lateness: str = "10 seconds",
+    as_of: str | None = None,
+) -> DataFrame:
+    """Sale rows with their buyer, also when the buyer's row comes after the sale.
+
+    A buyer's row counts for sales from ``wait`` before it to ``reach`` after it.
+    A sale whose buyer is known comes out at once.  One without waits in the
+    state and comes out once, with the defaults of an unknown buyer, when the
+    watermarks of both streams say that no row can come any more.  A sale meets
+    every row of its buyer in that span, so ``users`` should have one.
+    """
+    left = sales.withWatermark(sale_time, lateness).alias("s")
+    right = users.withWatermark(user_time, lateness).alias("u")
+    sold, known = F.col(f"s.{sale_time}"), F.col(f"u.{user_time}")
+    near = (known <= sold + F.expr(f"INTERVAL {wait}")) & (known >= sold - F.expr(f"INTERVAL {reach}"))
+    met = left.join(right, (F.col("s.user_id") == F.col("u.id")) & near, "left_outer")
+    age = F.coalesce(age_years(F.col("u.birthday"), as_of), F.lit(0))
+    buyer = {"user_gender": F.col("u.gender"), "user_age": age, "user_level": F.col("u.user_level")}
+    return met.select(*[buyer.get(c, F.col(f"s.{c}")).alias(c) for c in SALE_ORDER])
