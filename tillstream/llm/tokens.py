@@ -126,36 +126,42 @@ class PieceEncoder:
             known.update(zip(part, self._values(ids, starts, ends)))
         return known
 
-    def _lookup(self, needed: set[str]) -> dict:
-        """A dictionary with all needed pieces."""
-        missing = needed.difference(self.young)
-        if self.old:
-            again = missing.intersection(self.old)
-            self.young.update(zip(again, map(self.old.__getitem__, again)))
-            missing -= again
-        if not missing:
-            return self.young
-        fresh = self._encode(list(missing))
-        long = [k for k in missing if len(k) > self.longest]
-        if not long:
-            self.young.update(fresh)
-            return self.young
-        passing = {k: self.young[k] for k in needed if k in self.young} | fresh
-        self.young.update((k, v) for k, v in fresh.items() if len(k) <= self.longest)
-        return passing
+    def _missing(self, keys: set[str]) -> dict:
+        """Values of pieces that the young half does not hold; it learns them."""
+        old = self.old
+        found = {k: old[k] for k in keys if k in old} if old else {}
+        new = [k for k in keys if k not in found] if found else list(keys)
+        if new:
+            found |= self._encode(new)
+        self.young.update((k, v) for k, v in found.items() if len(k) <= self.longest)
+        return found
 
     def each(self, texts: list[str]) -> list:
-        """Per text the number of ids, or the ids as little-endian bytes."""
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        known = self._lookup(set().union(*(p for p in pieces if p)))
-        get, out = known.__getitem__, []
-        for text, keys in zip(texts, pieces):
-            if keys is None:
+        """Per text the number of ids, or the ids as little-endian bytes.
+
+        Each piece is looked up once; what is not known yet is encoded for all
+        texts together and put in its places.
+        """
+        get, missing = self.young.get, set()
+        pieces, values = [], []
+        for text in texts:
+            keys = self._pieces(text) if text else []
+            found = None if keys is None else list(map(get, keys))
+            if found and None in found:
+                missing.update([k for k, v in zip(keys, found) if v is None])
+            else:
+                keys = None
+            pieces.append(keys)
+            values.append(found)
+        fresh, out = self._missing(missing) if missing else {}, []
+        for text, keys, found in zip(texts, pieces, values):
+            if found is None:
                 ids = self._library(text)
                 out.append(len(ids) if self.counts_only else ids.tobytes())
-            else:
-                found = map(get, keys)
-                out.append(sum(found) if self.counts_only else b"".join(found))
+                continue
+            if keys is not None:
+                found = [fresh[k] if v is None else v for k, v in zip(keys, found)]
+            out.append(sum(found) if self.counts_only else b"".join(found))
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
         return out
