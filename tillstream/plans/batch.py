@@ -429,8 +429,10 @@ def sale_search_day(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders").where(
         times.in_days("o_orderdate", SEARCH_DAY)
     ).select(*inputs.order_columns())
-    orders = sales.with_buyers(orders, inputs.users(spark, sf_dir), AS_OF)
-    rows = sales.join_details(orders, inputs.named_details(spark, sf_dir))
+    # The day cuts the details before these look up the names of their items.
+    sold = sales.join_details(
+        sales.with_buyers(orders, inputs.users(spark, sf_dir), AS_OF), inputs.details(spark, sf_dir))
+    rows = sold.drop("sku_name").join(inputs.item_names(spark, sf_dir), "sku_id")
     return search.match_sales(rows).select(*sales.SALE_ORDER)
 
 

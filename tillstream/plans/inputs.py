@@ -76,12 +76,15 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*detail_columns())
 
 
-def named_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Details whose item name comes from the part table."""
-    parts = table(spark, sf_dir, "part").select(
+def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("sku_id"), F.col("p_name").alias("sku_name")
     )
-    return details(spark, sf_dir).drop("sku_name").join(parts, "sku_id")
+
+
+def named_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details whose item name comes from the part table."""
+    return details(spark, sf_dir).drop("sku_name").join(item_names(spark, sf_dir), "sku_id")
 
 
 def user_columns() -> list[Column]:

@@ -38,17 +38,15 @@ def build_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for stream checkpoints and staged tables.
 
-    Taken from ``spark.checkpoint.dir``, else a folder in the session's own
-    storage (``spark.sql.warehouse.dir``), which a cluster shares as well.  No
-    folder of one machine is ever made.
+    Taken from ``spark.checkpoint.dir``.  Only where driver and executors are one
+    machine may it be unset; a folder in the warehouse stands in for it there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    storage = spark.conf.get("spark.sql.warehouse.dir", None)
-    if not storage:
+    if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all machines share")
-    return f"{storage.rstrip('/')}/_streams"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
