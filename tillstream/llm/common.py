@@ -19,6 +19,22 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def quoted(column: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of a table as one struct, so that no name of theirs can meet
+    a name of an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def row_columns(docs: DataFrame, row: str, **instead: Column) -> list[Column]:
+    """The columns of ``docs`` from such a struct; some of them from elsewhere."""
+    return [instead.get(c, F.col(row)[c]).alias(c) for c in docs.columns]
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as empty text."""
     written = F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
@@ -28,12 +44,14 @@ def remainder(column: str, modulus: int) -> Column:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    That is ``spark.checkpoint.dir``; only where it is unset (tests on one
-    machine) the session's own storage folder stands in for it.  The path is
+    That is ``spark.checkpoint.dir``; only where driver and executors are one
+    machine may it be unset, and the warehouse stands in for it.  The path is
     removed when the driver's Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all machines share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

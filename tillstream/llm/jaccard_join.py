@@ -34,7 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillstream.llm.common import input_bytes, release, stored, whole_text
+from tillstream.llm.common import (
+    as_row, input_bytes, release, row_columns, stored, whole_text,
+)
 from tillstream.llm.graph import components
 from tillstream.llm.hashing import shingles
 
@@ -511,12 +513,14 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """One row of each component, with all columns: that of its smallest id.
 
     Rows with a null id are kept.  Rows that repeat an id and a text are one.
+    Null and empty texts are components of their own, texts may be of any length,
+    columns may have any names and hold nulls, and an empty table gives no rows.
     """
     found = near_duplicates(docs, size, percent)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("__first")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", F.xxhash64("text"))
-    kept = named.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    once = Window.partitionBy("doc_id", "__text").orderBy("__text")
-    return kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop(
-        "__nth", "__text").unionByName(docs.where(F.col("doc_id").isNull()))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("component_id").distinct()
+    named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                        F.xxhash64("text").alias("text_hash"))
+    kept = named.join(first, F.col("id") == F.col("component_id"), "left_semi")
+    once = Window.partitionBy("id", "text_hash").orderBy("text_hash")
+    return kept.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row").unionByName(
+        named.where(F.col("id").isNull()).select("row")).select(*row_columns(docs, "row"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillstream.llm.common import stored, whole_text
+from tillstream.llm.common import as_row, row_columns, stored, whole_text
 
 PAIRS_PER_DOCUMENT = 8
 
@@ -135,8 +135,9 @@ def rank_quality(docs: DataFrame, labels: DataFrame, training: Column,
                  threshold: float = 0.3) -> DataFrame:
     """doc_id, score, strength, predicted for every row of ``docs``.
 
-    Null texts count as empty; repeated rows and ids keep their rows; an empty
-    table gives no rows; only doc_id and text are read.
+    Null texts count as empty, texts may be of any length, equal texts have equal
+    scores; repeated rows and ids keep their rows; an empty table gives no rows;
+    only doc_id and text are read, whatever other columns there are.
     """
     described = stored(
         docs.select("doc_id", features(whole_text()).alias("f")), "quality-features")
@@ -150,11 +151,16 @@ def rank_quality(docs: DataFrame, labels: DataFrame, training: Column,
 def keep_good(docs: DataFrame, labels: DataFrame, training: Column,
               threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all columns.
-    Each row is judged where it is read; texts are not moved."""
+
+    Each row is judged where it is read; texts are not moved.  Null texts count
+    as empty, texts may be of any length, equal texts have equal scores, repeated
+    rows stay rows, columns may have any names and hold nulls, and an empty table
+    gives no rows.
+    """
     ranking = fit_ranking(
         docs.select("doc_id", features(whole_text()).alias("f")), labels, training, threshold)
     # The features stay in a projection, which evaluates shared parts once; a
     # filter would repeat them.  The generator keeps the filter above it.
-    strength = F.explode(F.array(ranking.strength(F.col("__f")))).alias("__strength")
-    judged = docs.withColumn("__f", features(whole_text())).select("*", strength)
-    return judged.where(ranking.score(F.col("__strength")) >= threshold).drop("__f", "__strength")
+    described = docs.select(as_row(docs).alias("row"), features(whole_text()).alias("f"))
+    judged = described.select("row", F.explode(F.array(ranking.strength(F.col("f")))).alias("strength"))
+    return judged.where(ranking.score(F.col("strength")) >= threshold).select(*row_columns(docs, "row"))
