@@ -95,10 +95,10 @@ def training_texts(docs: DataFrame, training: Column, per_language: int) -> list
     smallest hash, in hash order."""
     spark = docs.sparkSession
     hashed = docs.where(training & F.col("lang").isNotNull()).select(
-        "lang", F.xxhash64(whole_text()).alias("h"))
+        "lang", F.xxhash64(whole_text()).alias("h")).distinct()  # copies count once
     order = Window.partitionBy("lang").orderBy("h")
-    chosen = hashed.withColumn("r", F.dense_rank().over(order)).where(
-        F.col("r") <= per_language).select("lang", "h").distinct()
+    chosen = hashed.withColumn("r", F.row_number().over(order)).where(
+        F.col("r") <= per_language).select("lang", "h")
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # per_language rows a language
     rows = (
         docs.where(training).select("lang", whole_text().alias("text"))

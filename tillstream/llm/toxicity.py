@@ -59,8 +59,8 @@ def term_rows(texts: DataFrame, known: frozenset[str] | None, columns: str) -> D
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column, rows: int) -> DataFrame:
-    """(key, label, text): at most ``rows`` labelled documents of each label,
-    those with the smallest hash of their id."""
+    """(key, label, text): at most ``rows`` labelled texts of each label, those
+    with the smallest hash of their id, also where one id has many texts."""
     spark = docs.sparkSession
     marked = labels.where(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
         "doc_id", F.col("toxic").cast("int").alias("label"),
@@ -68,9 +68,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column, rows:
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
     chosen = marked.withColumn("r", rank).where(F.col("r") <= rows).select("doc_id", "label")
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # 2 * rows rows at most
-    return docs.join(F.broadcast(chosen), "doc_id").select(
-        F.xxhash64("text").alias("key"), "label", whole_text().alias("text")).dropDuplicates(
-            ["key", "label"])
+    met = docs.join(F.broadcast(chosen), "doc_id").select(
+        F.xxhash64("text").alias("key"), "label", F.xxhash64("doc_id").alias("h"),
+        whole_text().alias("text")).groupBy("key", "label").agg(
+            F.min("h").alias("h"), F.min("text").alias("text"))
+    # Texts of one id come along with it, so the bound is drawn once more, over texts.
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "key"))
+    return met.withColumn("r", nth).where(F.col("r") <= rows).select("key", "label", "text")
 
 
 def candidates(sample: DataFrame, sizes: dict[int, int]) -> list[str]:
@@ -182,11 +186,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, thresho
                    sample_rows: int = 3000, n_voters: int = 80, n_terms: int = 300) -> DataFrame:
     """doc_id, score, predicted for every row of ``docs``.
 
-    Learns from at most ``sample_rows`` documents of each label (toxic 0 / 1;
+    Learns from at most ``sample_rows`` texts of each label (toxic 0 / 1;
     null labels and ids are left out) for which ``training`` holds.  With one
     label or none, or without any telling term, every score is the share of
-    label 1 (0 without labels).  Null texts count as empty; repeated rows and
-    ids keep their rows; only doc_id and text are read of the documents.
+    label 1 (0 without labels).  Null texts count as empty, whole texts are read
+    however long, equal texts have equal scores; repeated rows and ids keep their
+    rows, an empty table gives none; only doc_id and text are read of the
+    documents, whatever other columns there are.
     """
     sample = labelled_sample(docs, labels, training, sample_rows).cache()
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
