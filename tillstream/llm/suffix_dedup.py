@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillstream.llm.common import input_bytes, release, stored, whole_text
 from tillstream.llm.hashing import mix, running, spans
@@ -154,10 +155,29 @@ def bucket_order(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
     return order, np.searchsorted(where[order], np.arange(buckets + 1))
 
 
+def pairs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values to send, at most two of each, and for every value the number
+    of its distinct value.
+
+    Two in one chunk are a tie already, so a fingerprint that very many texts
+    share costs its bucket two entries a chunk and not one a text.
+    """
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[:len(values)]
+    run = np.cumsum(new) - 1
+    keep, number = np.empty(len(values), dtype=bool), np.empty(len(values), dtype=np.int64)
+    keep[order] = np.arange(len(values)) - np.flatnonzero(new)[run] < 2
+    number[order] = run
+    return keep, number
+
+
 def send(chunk: int, names: np.ndarray, per_text: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """Rows (bucket, chunk, payload) of a chunk's fingerprints."""
     values = np.concatenate(per_text) if per_text else np.empty(0, dtype=np.uint64)
     text = np.repeat(np.arange(len(names)), [len(x) for x in per_text])
+    keep, _ = pairs_of(values)
+    values, text = values[keep], text[keep]
     order, edges = bucket_order(values, buckets)
     values, text = values[order], text[order]
     used = np.flatnonzero(np.diff(edges)).tolist()
@@ -177,7 +197,9 @@ PAYLOADS = "bucket int, chunk bigint, payload binary"
 
 def receive(bits: dict[int, bytes], per_text: list[np.ndarray], buckets: int) -> list[np.ndarray]:
     """Answers in the order of ``per_text``; every bucket that was sent must have answered."""
-    values = np.concatenate(per_text) if per_text else np.empty(0, dtype=np.uint64)
+    everything = np.concatenate(per_text) if per_text else np.empty(0, dtype=np.uint64)
+    keep, number = pairs_of(everything)
+    values = everything[keep]
     order, edges = bucket_order(values, buckets)
     flags = np.zeros(len(values), dtype=bool)
     for i in np.flatnonzero(np.diff(edges)).tolist():
@@ -186,8 +208,9 @@ def receive(bits: dict[int, bytes], per_text: list[np.ndarray], buckets: int) ->
         if not 0 <= len(found) - n < 8:
             raise ValueError("a bucket's answer does not fit its chunk")
         flags[edges[i]:edges[i + 1]] = found[:n]
-    out = np.empty_like(flags)
-    out[order] = flags
+    tied = np.zeros(int(number.max(initial=-1)) + 1, dtype=bool)
+    tied[number[keep][order]] = flags
+    out = tied[number]
     return np.split(out, np.cumsum([len(x) for x in per_text])[:-1]) if per_text else []
 
 
@@ -248,9 +271,11 @@ def chunked(rows: DataFrame) -> DataFrame:
         if texts:
             yield close(carried, texts)
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(
-        work, f"chunk bigint, carried array<{kind}>, lengths array<bigint>, body binary")
+    schema = T.StructType([
+        T.StructField("chunk", T.LongType()),
+        T.StructField("carried", T.ArrayType(rows.schema["row"].dataType)),
+        T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("body", T.BinaryType())])
+    return rows.mapInArrow(work, schema)
 
 
 def unpack(row: dict) -> list[bytes]:
@@ -325,10 +350,13 @@ def remove_repeats(docs: DataFrame, carry: list[str], window: int = 400,
     left = sort_buckets(
         chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(second, PAYLOADS))
     both = tied.withColumn("step", F.lit(1)).unionByName(left.withColumn("step", F.lit(2)))
-    kind, text = rows.schema["row"].dataType.simpleString(), "string" if as_text else "binary"
-    found = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(
-        third, f"row {kind}, n_bytes bigint, n_removed bigint, starts array<bigint>, "
-               f"ends array<bigint>, kept {text}")
+    places = T.ArrayType(T.LongType())
+    schema = T.StructType([
+        T.StructField("row", rows.schema["row"].dataType), T.StructField("n_bytes", T.LongType()),
+        T.StructField("n_removed", T.LongType()), T.StructField("starts", places),
+        T.StructField("ends", places),
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    found = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(third, schema)
     return found.select("row.*", "n_bytes", "n_removed", "starts", "ends", "kept")
 
 
