@@ -85,15 +85,18 @@ class KeyedTable:
         return self._versions()
 
     def _versions(self) -> list[Version]:
-        rows = []
-        for ring in range(VERSIONS):
-            place = f"{self.path}/versions/{ring}"
+        reader = self.spark.read.schema(POINTER)
+        places = [f"{self.path}/versions/{ring}" for ring in range(VERSIONS)]
+        while places:
             try:
-                rows += self.spark.read.schema(POINTER).parquet(place).collect()
+                rows = reader.parquet(*places).collect()
+                break
             except AnalysisException as missing:
                 if missing.getCondition() != "PATH_NOT_FOUND":
                     raise
-                break  # the ring has not come round yet
+                places.pop()  # the ring has not come round yet
+        else:
+            rows = []
         found = [Version(r["version"], {b: tuple(s) for b, s in r["slots"].items()},
                          dict(r["taken"])) for r in rows]
         return sorted(found, key=lambda v: v.number)

@@ -38,6 +38,8 @@ def with_hours(write, path: str, day: str, hour: str, amount: str | None = None)
         batch.persist()
         try:
             write(batch, batch_id)
+            if batch.isEmpty():
+                return
             value = exact_amount(amount) if amount else F.lit(None).cast(EXACT)
             rows = batch.select(
                 F.col(day).cast("string").alias("day"), F.col(hour).cast("string").alias("hour"),
