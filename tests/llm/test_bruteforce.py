@@ -157,7 +157,8 @@ def test_pipeline_is_its_operators(spark):
     assert ids(after) == {r["component_id"] for r in jaccard_join.near_duplicates(before).collect()}
     _, before, after = outs[2]
     kept = {r["doc_id"]: bytes(r["kept"]).decode(errors="ignore")
-            for r in suffix_dedup.remove_repeats(before, ["doc_id"]).collect()}
+            for r in suffix_dedup.remove_repeats(
+                before, ["doc_id"], window=corpus_pipeline.REPEAT_BYTES).collect()}
     assert {r["doc_id"]: r["text"] for r in after.collect()} == kept
     assert after.where(F.col("n_chars") != F.char_length("text")).count() == 0
     _, before, after = outs[3]
