@@ -10,6 +10,7 @@ generalised Jaccard similarity of their weighted terms.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,39 @@ from tillstream.llm.common import input_bytes, whole_text
 from tillstream.llm.hashing import mix, shingles
 
 SAMPLES = 64
-TERMS_PER_BLOCK = 512
+TERMS_PER_BLOCK = 256
 
 
 def uniform(bits: np.ndarray) -> np.ndarray:
-    """The low 23 bits as numbers strictly between 0 and 1."""
-    ones = bits & np.uint32(0x7FFFFF) | np.uint32(0x3F800000)
-    return ones.view(np.float32) - np.float32(1 - 2.0 ** -24)
+    """The low 23 bits as numbers strictly between 0 and 1; ``bits`` is used up."""
+    bits &= np.uint32(0x7FFFFF)
+    bits |= np.uint32(0x3F800000)
+    ones = bits.view(np.float32)
+    ones -= np.float32(1 - 2.0 ** -24)
+    return ones
+
+
+def mixed(h: np.ndarray, spare: np.ndarray) -> None:
+    """``hashing.mix`` in place."""
+    for last in (False, False, True):
+        np.right_shift(h, np.uint64(32), out=spare)
+        h ^= spare
+        if not last:
+            h *= np.uint64(0xD6E8FEB86659FD93)
+
+
+def halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The high and the low 32 bits, as views."""
+    both = h.view(np.uint32).reshape(*h.shape, 2)
+    low = 0 if sys.byteorder == "little" else 1
+    return both[..., 1 - low], both[..., low]
+
+
+def product(h: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """The product of two uniform numbers, of each half's top 23 bits."""
+    bits = np.right_shift(h.view(np.uint32), np.uint32(9), out=spare.view(np.uint32))
+    ones = uniform(bits).reshape(*h.shape, 2)
+    return ones[..., 0] * ones[..., 1]
 
 
 class Sampler:
@@ -42,26 +69,27 @@ class Sampler:
 
     def numbers(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """r, ln c and beta, a row for each sample."""
-        a = mix(terms ^ self.keys[0])
-        b = mix(a + self.keys[1])
-        a_low, b_low = a.astype(np.uint32), b.astype(np.uint32)
-        a_high, b_high = (a >> np.uint64(32)).astype(np.uint32), (b >> np.uint64(32)).astype(np.uint32)
-        nine = np.uint32(9)
+        a = terms ^ self.keys[0]
+        spare = np.empty_like(a)
+        mixed(a, spare)
+        b = a + self.keys[1]
+        mixed(b, spare)
+        a_high, a_low = halves(a)
+        beta = a_low & np.uint32(511)
+        beta <<= np.uint32(5)
+        beta ^= a_high << np.uint32(14)
+        beta ^= halves(b)[0] & np.uint32(31)
         # The sum of two exponential numbers is gamma(2).
-        r = -np.log(uniform(a_high >> nine) * uniform(a_low >> nine))
-        ln_c = np.log(-np.log(uniform(b_high >> nine) * uniform(b_low >> nine)))
-        beta = uniform(a_high << np.uint32(14) ^ (a_low & np.uint32(511)) << np.uint32(5) ^ b_high & np.uint32(31))
-        return r, ln_c, beta
-
-    def of(self, text: str) -> np.ndarray:
-        """Samples as 32-bit numbers; all zero for a text without words."""
-        found = shingles(text.lower().encode().split(), 2)
-        if not len(found):
-            return np.zeros(self.samples, dtype=np.uint32)
-        terms, weights = np.unique(found, return_counts=True)
-        least = np.full(self.samples, np.inf, dtype=np.float32)
-        term, position = np.zeros(self.samples, dtype=np.uint64), np.zeros(self.samples, dtype=np.int64)
-        rows = np.arange(self.samples)
+        r = np.log(product(a, spare))
+        np.negative(r, out=r)
+        ln_c = np.log(product(b, spare))
+        np.negative(ln_c, out=ln_c)
+        np.log(ln_c, out=ln_c)
+        return r, ln_c, uniform(beta)
+
+    def _least(self, terms: np.ndarray, weights: np.ndarray) -> "Least":
+        """For every sample the smallest value among weighted terms in order."""
+        least = Least(self.samples)
         once = weights == 1  # by far the most common: t = 0
         for part, ln_w in ((terms[once], None), (terms[~once], np.log(weights[~once]).astype(np.float32))):
             for at in range(0, len(part), TERMS_PER_BLOCK):
@@ -69,16 +97,69 @@ class Sampler:
                 r, ln_c, beta = self.numbers(block)
                 if ln_w is None:
                     t = None
-                    value = ln_c + r * beta - r
+                    beta *= r
+                    value = ln_c + beta
+                    value -= r
                 else:
                     t = np.floor(ln_w[at:at + TERMS_PER_BLOCK] / r + beta)
                     value = ln_c - r * (t - beta) - r
                 i = value.argmin(axis=1)  # of equal values the smallest term, as terms are in order
-                low, name = value[rows, i], block[i]
-                better = (low < least) | (low == least) & (name < term)
-                least[better], term[better] = low[better], name[better]
-                position[better] = 0 if t is None else t[rows, i][better].astype(np.int64)
-        name = mix(term * np.uint64(0x100000001B3) + position.astype(np.uint64))
+                rows = np.arange(self.samples)
+                position = 0 if t is None else t[rows, i].astype(np.int64)
+                least.take(value[rows, i], block[i], position)
+        return least
+
+    def of(self, text: str) -> np.ndarray:
+        """Samples as 32-bit numbers; all zero for a text without words."""
+        return self.of_terms(weigh(text))
+
+    def of_terms(self, terms: "Terms") -> np.ndarray:
+        return self._least(*terms).names()
+
+    def of_both(self, a: "Terms", b: "Terms") -> tuple[np.ndarray, np.ndarray]:
+        """The samples of two texts; terms that both have with one weight are
+        worked out once."""
+        _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+        equal = a[1][in_a] == b[1][in_b]
+        in_a, in_b = in_a[equal], in_b[equal]
+        shared = self._least(a[0][in_a], a[1][in_a])
+        found = []
+        for (terms, weights), inside in ((a, in_a), (b, in_b)):
+            own = np.ones(len(terms), dtype=bool)
+            own[inside] = False
+            least = self._least(terms[own], weights[own])
+            least.take(shared.low, shared.term, shared.position)
+            found.append(least.names())
+        return found[0], found[1]
+
+
+Terms = tuple[np.ndarray, np.ndarray]  # hashes in ascending order, and weights
+
+
+def weigh(text: str) -> Terms:
+    """The terms of a text with their weights."""
+    return np.unique(shingles(text.lower().encode().split(), 2), return_counts=True)
+
+
+class Least:
+    """The smallest value of each sample, and the term and position that have it;
+    of equal values the smallest term, so the order of additions does not matter."""
+
+    def __init__(self, samples: int) -> None:
+        self.low = np.full(samples, np.inf, dtype=np.float32)
+        self.term = np.zeros(samples, dtype=np.uint64)
+        self.position = np.zeros(samples, dtype=np.int64)
+
+    def take(self, low: np.ndarray, term: np.ndarray, position: np.ndarray | int) -> None:
+        better = (low < self.low) | (low == self.low) & (term < self.term)
+        self.low = np.where(better, low, self.low)
+        self.term = np.where(better, term, self.term)
+        self.position = np.where(better, position, self.position)
+
+    def names(self) -> np.ndarray:
+        if np.isinf(self.low).all():
+            return np.zeros(len(self.low), dtype=np.uint32)
+        name = mix(self.term * np.uint64(0x100000001B3) + self.position.astype(np.uint64))
         return name.astype(np.uint32)
 
 
@@ -132,7 +213,8 @@ def with_next(docs: DataFrame, slice_bytes: int) -> DataFrame:
         .select("row_id", "text", "slice", F.lit(True).alias("extra"))
     )
     both = placed.withColumn("extra", F.lit(False)).unionByName(extra)
-    return both.repartition(n, "slice").sortWithinPartitions(
+    # Slice i to partition i: a hash would give several slices to some tasks and none to others.
+    return both.repartitionById(n + 1, "slice").sortWithinPartitions(
         "slice", "extra", F.col("row_id").asc_nulls_first(), "text")
 
 
@@ -157,24 +239,35 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES,
     first, and for the last row the first; a single row is its own next.  Null
     texts count as empty.  Texts without words have a fingerprint of zeros,
     which is like itself only.  Equal texts have equal fingerprints; repeated
-    rows stay rows; an empty table gives no rows.  Each text moves once.
+    rows stay rows; an empty table gives no rows; only doc_id and text are read,
+    whatever other columns there are.  Each text moves once.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = sampler(samples)
-        last = None  # (slice, id, text, fingerprint) that waits for its next
+        last = None  # (slice, id, text, terms) that waits for its next
+        ready = None  # a result that waits for the fingerprint of its next
         for batch in batches:
             out = []
+
+            def close(following: np.ndarray) -> None:
+                *found, mine, other = ready
+                out.append((*found, mine.tobytes().hex(), other.tobytes().hex(),
+                            likeness(mine, other), likeness(mine, following)))
+
             for row_id, text, part, extra in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = sample.of(text)
+                terms = weigh(text)
                 if last is not None and last[0] == part:
                     changed = edited(last[2], text)
-                    other = sample.of(changed)
-                    out.append((
-                        last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(),
-                        last[3].tobytes().hex(), other.tobytes().hex(),
-                        likeness(last[3], other), likeness(last[3], mine)))
-                last = None if extra else (part, row_id, text, mine)
+                    both = sample.of_both(last[3], weigh(changed))
+                    if ready is not None:
+                        close(both[0])
+                    ready = (last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), *both)
+                if extra:  # the end of a slice
+                    close(sample.of_terms(terms))
+                    last = ready = None
+                else:
+                    last = (part, row_id, text, terms)
             columns = list(zip(*out)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, KINDS)], NAMES)
