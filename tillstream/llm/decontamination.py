@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillstream.llm.common import stored, whole_text
+from tillstream.llm.common import as_row, row_columns, stored, whole_text
 
 # Fixed value: a word is a run of characters other than these.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,13 +41,48 @@ def shingles(array: Column, size: int) -> Column:
     )
 
 
-def small(df: DataFrame, column: str) -> DataFrame:
-    """Marked for broadcast if its measured size allows, else left to a
-    partitioned join, whose hot keys adaptive execution splits."""
+def marks(array: Column, size: int) -> Column:
+    """Hashes of runs of ``size`` words at every place, made without joining them."""
+    return F.transform(array, lambda w, i: F.xxhash64(
+        w, *(F.get(array, i + F.lit(j)) for j in range(1, size))))
+
+
+def fits(df: DataFrame, column: str) -> bool:
+    """Whether a table is small enough to be broadcast, by its measured size."""
     size = df.agg(
         (F.count("*") * 64 + F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).alias("n")
     ).first()["n"]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return size <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, column: str) -> DataFrame:
+    """Marked for broadcast if its measured size allows, else left to a
+    partitioned join, whose hot keys adaptive execution splits."""
+    return F.broadcast(df) if fits(df, column) else df
+
+
+def places(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(row, total, pos, shingle): where wanted shingles of ``size`` words stand.
+
+    A broadcast set of hashes comes first, so that only places with a wanted
+    hash get their shingle as text, which is then compared itself.  A larger set
+    meets all shingles in a partitioned join.
+    """
+    if not fits(wanted, "shingle"):
+        placed = docs.select(
+            "row", F.size("words").alias("total"),
+            F.posexplode(shingles(F.col("words"), size)).alias("pos", "shingle"))
+        return placed.where(F.col("pos") + size <= F.col("total")).join(wanted, "shingle", "left_semi")
+    array = F.split("shingle", " ")
+    known = wanted.select(F.xxhash64(*(F.get(array, F.lit(j)) for j in range(SHINGLE))).alias("mark"))
+    placed = docs.select(
+        "row", "words", F.size("words").alias("total"),
+        F.posexplode(marks(F.col("words"), size)).alias("pos", "mark"))
+    found = placed.where(F.col("pos") + size <= F.col("total")).join(
+        F.broadcast(known.distinct()), "mark", "left_semi")
+    text = F.array_join(F.slice("words", F.col("pos") + 1, F.lit(size)), " ")
+    return found.select("row", "total", "pos", text.alias("shingle")).join(
+        F.broadcast(wanted), "shingle", "left_semi")
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -83,12 +118,19 @@ def row_key() -> Column:
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of documents without any window of the benchmark, with all columns."""
+    """The rows of documents without any window of the benchmark, with all columns.
+
+    Null and empty texts and items have no words, texts may be of any length,
+    equal rows are judged alike and stay rows, columns may have any names and
+    hold nulls, and either table may be empty.
+    """
     _, found, _ = occurrences(documents, benchmark, window)
     if found is None:
         return documents
-    hit = found.select(F.col("row").alias("__row")).distinct()
-    return documents.withColumn("__row", row_key()).join(hit, "__row", "left_anti").drop("__row")
+    hit = found.select(F.col("row").alias("hit")).distinct()
+    named = documents.select(as_row(documents).alias("doc"), row_key().alias("row"))
+    return named.join(hit, F.col("row") == F.col("hit"), "left_anti").select(
+        *row_columns(documents, "doc"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -119,14 +161,10 @@ def occurrences(documents: DataFrame, benchmark: DataFrame,
         F.least(F.lit(SHINGLE), F.col("n_words"))).distinct().collect()]  # at most three numbers
 
     # Where shingles of the benchmark stand in documents: the one pass that meets all words.
-    wanted = small(parts.select("shingle").distinct(), "shingle")
+    wanted = parts.select("shingle").distinct()
     found = None
     for size in sizes:
-        placed = docs.select(
-            "row", F.size("words").alias("total"),
-            F.posexplode(shingles(F.col("words"), size)).alias("pos", "shingle"),
-        ).where(F.col("pos") + size <= F.col("total"))
-        placed = placed.join(wanted, "shingle", "left_semi")
+        placed = places(docs, wanted, size).select("shingle", "row", "total", "pos")
         found = placed if found is None else found.unionByName(placed)
     if found is None:
         return docs, None, windows
