@@ -121,8 +121,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
     32-bit), doc_tokens, sequence_id, offset.
 
     A document is its tokens and ``end_id``, so a null or empty text is one
-    token.  Rows are packed as rows: repeated rows and null ids included; an
-    empty table gives no pieces.  Nothing is shuffled: each task packs what it
+    token, and a text of any length is cut into pieces of at most ``capacity``.
+    Rows are packed as rows: repeated rows and null ids included; only the id and
+    the text are read, so other columns may have any names; an empty table gives
+    no pieces.  Nothing is shuffled: each task packs what it
     reads, and its sequences are numbered from its partition number, so a task
     that runs again gives the same pieces.
     """
@@ -140,6 +142,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
                     if packer.size >= block_tokens:
                         yield packer.flush(last=False)
         yield packer.flush(last=True)
+        encoder.rest()
 
     rows = docs.select(
         F.col(id_column).cast("long").alias("row_id"), whole_text(text_column).alias("text")

@@ -166,6 +166,11 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
         return out
 
+    def rest(self) -> None:
+        """Forget the older pieces: a worker that waits for its next task holds
+        half the memory."""
+        self.old = {}
+
 
 _ENCODERS: dict = {}
 
