@@ -497,3 +497,37 @@ def test_users_that_come_late(spark, feed, tmp_path):
     finish(query)
     rows = sorted((r.order_id, r.user_gender, r.user_age) for r in spark.table("late_users").collect())
     assert rows == [("sa", "F", 31), ("sb", "F", 31), ("sc", None, 0), ("sd", None, 0)]
+
+
+def test_a_join_keeps_one_store_a_partition(spark, tmp_path):
+    """And goes on from a checkpoint whose join kept four."""
+    version = "spark.sql.streaming.join.stateFormatVersion"
+
+    def deliver(low, high):
+        for side in "ab":
+            spark.range(low, high).select(
+                F.col("id").alias(side), F.timestamp_seconds(F.col("id") + 1_000_000).alias(f"{side}_time")
+            ).write.mode("append").parquet(str(tmp_path / side))
+
+    def join(name):
+        a, b = (spark.readStream.schema(f"{s} long, {s}_time timestamp").parquet(str(tmp_path / s))
+                .withWatermark(f"{s}_time", "1 day") for s in "ab")
+        met = a.join(b, F.expr("a = b and a_time between b_time - interval 1 day and b_time"))
+        query = finish(jobs.start(
+            met, name, jobs.table_writer(str(tmp_path / f"{name}-out")),
+            trigger=jobs.ALL_AVAILABLE, checkpoint=str(tmp_path / f"{name}-cp")))
+        states = [json.loads(p.json)["stateOperators"][0] for p in query.recentProgress]
+        found = read_table(spark, str(tmp_path / f"{name}-out")).select("a").collect()
+        return {s["numStateStoreInstances"] for s in states}, sorted(r.a for r in found)
+
+    deliver(0, 20)
+    assert join("new") == ({4}, list(range(20)))
+    assert spark.conf.get(version, None) is None
+    spark.conf.set(version, "2")
+    try:
+        assert join("old") == ({16}, list(range(20)))
+    finally:
+        spark.conf.unset(version)
+    deliver(20, 30)
+    assert join("old") == ({16}, list(range(30)))
+    assert join("new") == ({4}, list(range(30)))

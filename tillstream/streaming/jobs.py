@@ -21,7 +21,7 @@ from tillstream.operators.alerts import AlertRule
 from tillstream.operators.orders import prepare_orders
 from tillstream.operators.routing import Topics, in_key_order, route_changes, route_logs
 from tillstream.operators.sales import enrich_users
-from tillstream.session import checkpoint_root
+from tillstream.session import checkpoint_root, state_settings
 from tillstream.sources.changefeed import change_rows, parse_entries
 from tillstream.sources.keyed import KeyedTable, keyed_writer
 from tillstream.sources.tables import write_batch
@@ -46,13 +46,14 @@ def start(
 ) -> StreamingQuery:
     """Start a query that hands its batches to ``write``."""
     place = checkpoint or f"{checkpoint_root(rows.sparkSession)}/streams/{name}"
-    return (
+    stream = (
         rows.writeStream.queryName(name).outputMode(mode)
         .option("checkpointLocation", place)
         .trigger(**(trigger or EVERY_5_SECONDS))
         .foreachBatch(write)
-        .start()
     )
+    with state_settings(rows.sparkSession):
+        return stream.start()
 
 
 def counted(rows: DataFrame, name: str) -> DataFrame:
