@@ -12,6 +12,7 @@ containment of its words.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,18 @@ from pyspark.sql.window import Window
 from tillstream.llm.common import as_row, row_columns, stored, whole_text
 
 # Fixed value: a word is a run of characters other than these.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
-    """Words after lower-casing A-Z; ``lower`` does the same where all is ASCII."""
+    """Words after lower-casing A-Z; ``lower`` does the same where all is ASCII.
+    ``split`` reads a text once; ``regexp_extract_all`` copies it for every word."""
     lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     )
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def shingles(array: Column, size: int) -> Column:
@@ -64,25 +66,40 @@ def small(df: DataFrame, column: str) -> DataFrame:
 def places(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(row, total, pos, shingle): where wanted shingles of ``size`` words stand.
 
-    A broadcast set of hashes comes first, so that only places with a wanted
-    hash get their shingle as text, which is then compared itself.  A larger set
-    meets all shingles in a partitioned join.
+    All shingles meet a set too large to be broadcast in a partitioned join.
     """
-    if not fits(wanted, "shingle"):
-        placed = docs.select(
-            "row", F.size("words").alias("total"),
-            F.posexplode(shingles(F.col("words"), size)).alias("pos", "shingle"))
-        return placed.where(F.col("pos") + size <= F.col("total")).join(wanted, "shingle", "left_semi")
+    placed = docs.select(
+        "row", F.size("words").alias("total"),
+        F.posexplode(shingles(F.col("words"), size)).alias("pos", "shingle"))
+    return placed.where(F.col("pos") + size <= F.col("total")).join(wanted, "shingle", "left_semi")
+
+
+def marked(docs: DataFrame, wanted: DataFrame, size: int, ends: bool) -> DataFrame:
+    """(doc_id, row, total, pos, shingle): places whose hash is that of a wanted
+    shingle, which is still to be compared as text.
+
+    With ``ends`` every row of documents adds one row, its end, with ``total`` as
+    its place and no shingle, so that words need not be counted in a second pass.
+    A broadcast set of hashes comes first: only places that it holds get their
+    shingle as text.
+    """
+    end = F.lit(0).cast("long")
     array = F.split("shingle", " ")
     known = wanted.select(F.xxhash64(*(F.get(array, F.lit(j)) for j in range(SHINGLE))).alias("mark"))
+    found = marks(F.col("words"), size)
+    here = F.col("pos") + size <= F.col("total")
+    if ends:
+        known = known.unionByName(docs.sparkSession.range(1).select(end.alias("mark")))
+        found = F.concat(found, F.array(end))
+        here = here | (F.col("pos") == F.col("total"))
     placed = docs.select(
-        "row", "words", F.size("words").alias("total"),
-        F.posexplode(marks(F.col("words"), size)).alias("pos", "mark"))
-    found = placed.where(F.col("pos") + size <= F.col("total")).join(
-        F.broadcast(known.distinct()), "mark", "left_semi")
-    text = F.array_join(F.slice("words", F.col("pos") + 1, F.lit(size)), " ")
-    return found.select("row", "total", "pos", text.alias("shingle")).join(
-        F.broadcast(wanted), "shingle", "left_semi")
+        "doc_id", "row", "words", F.size("words").alias("total"),
+        F.posexplode(found).alias("pos", "mark"))
+    met = placed.where(here).join(F.broadcast(known.distinct()), "mark", "left_semi")
+    text = F.when(
+        F.col("pos") < F.col("total"),
+        F.array_join(F.slice("words", F.col("pos") + 1, F.lit(size)), " "))
+    return met.select("doc_id", "row", "total", "pos", text.alias("shingle"))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -145,30 +162,36 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     """
     docs, found, windows = occurrences(documents, benchmark, window)
     if found is None:
-        return docs.select("doc_id", F.size("words").alias("n_words"), F.lit(0).alias("n_hit"),
+        return docs.select("doc_id", "n_words", F.lit(0).alias("n_hit"),
                            F.lit(0).alias("n_items"), F.array().cast("array<string>").alias("items"))
     return counted(docs, found, windows)
 
 
 def occurrences(documents: DataFrame, benchmark: DataFrame,
                 window: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Documents as (doc_id, row, words); where windows occur in them as (row,
+    """Documents as (doc_id, row, n_words); where windows occur in them as (row,
     start, window, n_words), None without any window; and the items' windows."""
-    docs = documents.select("doc_id", row_key().alias("row"), words(whole_text()).alias("words"))
+    split = documents.select("doc_id", row_key().alias("row"), words(whole_text()).alias("words"))
+    docs = split.select("doc_id", "row", F.size("words").alias("n_words"))
     windows = stored(item_windows(benchmark, window), "windows")
     parts = stored(window_shingles(windows), "window-shingles")
     sizes = [r[0] for r in windows.select(
         F.least(F.lit(SHINGLE), F.col("n_words"))).distinct().collect()]  # at most three numbers
 
     # Where shingles of the benchmark stand in documents: the one pass that meets all words.
-    wanted = parts.select("shingle").distinct()
-    found = None
-    for size in sizes:
-        placed = places(docs, wanted, size).select("shingle", "row", "total", "pos")
-        found = placed if found is None else found.unionByName(placed)
-    if found is None:
+    if not sizes:
         return docs, None, windows
-    hits = stored(found.distinct(), "shingle-hits")
+    wanted = parts.select("shingle").distinct()
+    if fits(wanted, "shingle"):
+        met = [marked(split, wanted, size, ends=not i) for i, size in enumerate(sizes)]
+        seen = stored(reduce(DataFrame.unionByName, met), "marked-places")
+        docs = seen.where(F.col("pos") == F.col("total")).select(
+            "doc_id", "row", F.col("total").alias("n_words"))
+        found = seen.where(F.col("pos") < F.col("total")).join(
+            F.broadcast(wanted), "shingle", "left_semi")
+    else:
+        found = reduce(DataFrame.unionByName, [places(split, wanted, size) for size in sizes])
+    hits = stored(found.select("shingle", "row", "total", "pos").distinct(), "shingle-hits")
 
     # Order by rarity over all documents; a window with an absent shingle cannot occur.
     counts = hits.groupBy("shingle").agg(F.count("*").alias("n"))
@@ -222,8 +245,7 @@ def counted(docs: DataFrame, occurrences: DataFrame, windows: DataFrame) -> Data
         .groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
     return (
-        docs.select("doc_id", "row", F.size("words").alias("n_words"))
-        .join(hit.join(items, "row"), "row", "left")
+        docs.join(hit.join(items, "row"), "row", "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
             F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
