@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -11,7 +12,7 @@ import corpus_pipeline
 from tests.llm.conftest import LONG
 from tillstream.llm import (
     decontamination, fingerprints, jaccard_join, language, packing, quality, suffix_dedup,
-    token_cache, toxicity, url_filter,
+    token_cache, tokens, toxicity, url_filter,
 )
 from tillstream.llm.common import remainder, scratch
 
@@ -193,3 +194,35 @@ def test_pipeline_stages(spark, odd, labels, tmp_path):
 def test_splits_do_not_depend_on_nulls(odd):
     got = odd.select("doc_id", remainder("doc_id", 5).alias("r")).distinct().collect()
     assert all(r["r"] is not None for r in got)
+
+
+def test_contamination_reads_texts_once(spark, odd, tmp_path):
+    """Numbers of words come from the pass that looks for shingles, one for each row."""
+    odd.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    items = spark.createDataFrame([(1, "QUICK brown fox"), (4, "12"), (5, "an other")], "item_id long, text string")
+    found = decontamination.contamination(docs, items)
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert ids(found) == ids(odd)
+    assert {r["doc_id"]: r["n_words"] for r in found.collect() if r["doc_id"] in (3, 4, 5, 6, 7, 8)} == {
+        3: 0, 4: 0, 5: 60000, 6: 0, 7: 2, 8: 7}
+
+
+def test_words(spark):
+    texts = ["", " ", "--", "a", " A-b ", "ÄÖ É\U0001f600x,Y", "x\x00y\x7f", "\n1\t2\n", "a--b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in rows.select(decontamination.words(F.col("text"))).collect()]
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    assert got == [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(low)) for t in texts]
+
+
+def test_pieces_of_many_texts_at_once():
+    """Ids as the library gives them, also where hardly any piece is remembered."""
+    encoder = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), False, keep=3)
+    texts = ["a b a", "", " ", "one, two. (three)", " lead\ttail \r\n", "ÄÖ ß é́ \U0001f600", "a\x0bb",
+             "x\x00y", "a<|endoftext|>b", "no\xa0break", "a " * 500, "\n"]
+    for _ in range(2):
+        for i in range(len(texts)):
+            assert encoder.each(texts[i:]) == [encoder._library(t).tobytes() for t in texts[i:]]
+        assert len(encoder.young) <= 3
+    assert encoder.each([]) == []

@@ -28,6 +28,8 @@ PIECES = pa.schema([
 PIECES_SQL = ("row_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
               "sequence_id bigint, offset bigint")
 SEQUENCES_PER_TASK = 1 << 36
+# Half of the pieces that a worker remembers.
+KEPT_PIECES = 300_000
 
 Piece = tuple[int, int, int]  # document (place in the block), start, length
 
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
     closing = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer_path, spaces_kept)
+        encoder = tokens.encoder(tokenizer_path, spaces_kept, keep=KEPT_PIECES)
         packer = Packer(capacity, linear, quadratic,
                         TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
         for batch in batches:
@@ -142,7 +144,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
                     if packer.size >= block_tokens:
                         yield packer.flush(last=False)
         yield packer.flush(last=True)
-        encoder.rest()
 
     rows = docs.select(
         F.col(id_column).cast("long").alias("row_id"), whole_text(text_column).alias("text")
