@@ -1,12 +1,14 @@
 """Properties that short texts and small tables do not show."""
 
+import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillstream.llm import fingerprints, jaccard_join
+from tillstream.llm import common, fingerprints, jaccard_join
 
 
 @pytest.mark.parametrize("shared", [0, 30_000, 60_000])
@@ -101,3 +103,29 @@ def test_hot_lists_keep_groups_small(spark, monkeypatch, kind):
     groups = groups_of_searches(monkeypatch)
     assert components_of(docs) == linked(texts)
     assert max(groups) < 3 * 8_000
+
+
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    """Of few texts, however many partitions the session shuffles to."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range(60)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[1:])), (3 * i + 2, " ".join(words[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    paths, scratch = [], common.scratch
+    monkeypatch.setattr(common, "scratch", lambda s, name: paths.append(scratch(s, name)) or paths[-1])
+    hot = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hot}
+    for k, v in hot.items():
+        spark.conf.set(k, v)
+    try:
+        found = jaccard_join.near_duplicates(docs)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i // 3 * 3 for i, _ in rows}
+        assert found.rdd.getNumPartitions() <= jaccard_join.LEAST_FILES
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    folders = [Path(p.removeprefix("file://").removeprefix("file:")) for p in paths]
+    written = {f.name: len(list(f.glob("part-*"))) for f in folders}
+    assert len(written) > 10 and max(written.values()) <= jaccard_join.LEAST_FILES, written

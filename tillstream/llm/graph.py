@@ -24,21 +24,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, label) for every node of links (a, b); the label is the smallest
     node of its component.  Null ends and self-links are left out; an empty
     table gives no rows.
 
     Alternating stars halve the depth of each component in every round; minima
     are taken inside the tasks first, so a node with many neighbours costs a
-    row a task.  Each round is written to the shared folder.
+    row a task.  Each round is written to the shared folder, in at most
+    ``files`` files.
     """
     edges = stored(
         links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(),
-        "components")
+        "components", files)
     before = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "components")
+        edges = stored(_small_star(_large_star(edges)), "components", files)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if before == now:
             break
