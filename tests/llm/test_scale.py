@@ -129,3 +129,23 @@ def test_near_duplicates_write_few_files(spark, monkeypatch):
     folders = [Path(p.removeprefix("file://").removeprefix("file:")) for p in paths]
     written = {f.name: len(list(f.glob("part-*"))) for f in folders}
     assert len(written) > 10 and max(written.values()) <= jaccard_join.LEAST_FILES, written
+
+
+def test_fingerprints_work_out_shared_terms_once(monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["", "one", "a b a b a b c", " Σ\tΑΣ\x0bΑΣ Α\n\nΣ. ", "x" * 999 + " y ", "ab " * 9000] + [" ".join(rng.choices(words, k=rng.randrange(1, 400))) for _ in range(40)]
+    sample, worked = fingerprints.Sampler(), []
+    alone = [sample.of(t).tobytes().hex() for t in texts]
+    changed = [sample.of(fingerprints.edited(a, b)).tobytes().hex() for a, b in zip(texts, texts[1:])]
+    numbers = fingerprints.Sampler.numbers
+    monkeypatch.setattr(fingerprints.Sampler, "numbers", lambda self, terms, *a: worked.append(len(terms)) or numbers(self, terms, *a))
+    monkeypatch.setattr(fingerprints, "TERMS_HELD", 1000)
+    group = fingerprints.Group(sample)
+    for i, text in enumerate(texts):
+        group.add(i, text, 0, False)
+    every = [group.rows[-1].terms] + [x for r in group.rows[:-1] for x in (r.terms, r.changed)]
+    found = group.closed().to_pylist()
+    assert [r["fingerprint"] for r in found] == alone[:-1]
+    assert [r["edited_fingerprint"] for r in found] == changed
+    assert sum(worked) == len({tw for terms, weights in every for tw in zip(terms.tolist(), weights.tolist())})

@@ -23,6 +23,10 @@ from tillstream.llm.hashing import mix, shingles
 
 SAMPLES = 64
 TERMS_PER_BLOCK = 256
+# Terms whose values are held at once.
+TERMS_HELD = 1 << 14
+# Texts whose terms are worked out together have about so many.
+TERMS_PER_GROUP = 1 << 15
 
 
 def uniform(bits: np.ndarray) -> np.ndarray:
@@ -50,11 +54,11 @@ def halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[..., 1 - low], both[..., low]
 
 
-def product(h: np.ndarray, spare: np.ndarray) -> np.ndarray:
+def product(h: np.ndarray, spare: np.ndarray, out: np.ndarray) -> None:
     """The product of two uniform numbers, of each half's top 23 bits."""
     bits = np.right_shift(h.view(np.uint32), np.uint32(9), out=spare.view(np.uint32))
     ones = uniform(bits).reshape(*h.shape, 2)
-    return ones[..., 0] * ones[..., 1]
+    np.multiply(ones[..., 0], ones[..., 1], out=out)
 
 
 class Sampler:
@@ -65,80 +69,118 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES, seed: int = 11):
         random = np.random.Generator(np.random.PCG64(seed))
         self.samples = samples
-        self.keys = random.integers(0, 1 << 64, (2, samples, 1), dtype=np.uint64)
-
-    def numbers(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, ln c and beta, a row for each sample."""
-        a = terms ^ self.keys[0]
-        spare = np.empty_like(a)
+        self.keys = random.integers(0, 1 << 64, (2, 1, samples), dtype=np.uint64)
+        self.room = [np.empty((TERMS_PER_BLOCK, samples), dtype=k) for k in (
+            np.uint64, np.uint64, np.uint64, np.float32, np.uint32, np.uint32)]
+
+    def numbers(self, terms: np.ndarray, ln_c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """r and beta of at most a block of terms, a row for each, and ln c in its
+        place; r and beta hold until the next call."""
+        a, b, spare, r, beta, bits = (x[:len(terms)] for x in self.room)
+        np.bitwise_xor(terms[:, None], self.keys[0], out=a)
         mixed(a, spare)
-        b = a + self.keys[1]
+        np.add(a, self.keys[1], out=b)
         mixed(b, spare)
         a_high, a_low = halves(a)
-        beta = a_low & np.uint32(511)
+        np.bitwise_and(a_low, np.uint32(511), out=beta)
         beta <<= np.uint32(5)
-        beta ^= a_high << np.uint32(14)
-        beta ^= halves(b)[0] & np.uint32(31)
+        beta ^= np.left_shift(a_high, np.uint32(14), out=bits)
+        beta ^= np.bitwise_and(halves(b)[0], np.uint32(31), out=bits)
         # The sum of two exponential numbers is gamma(2).
-        r = np.log(product(a, spare))
+        product(a, spare, r)
+        np.log(r, out=r)
         np.negative(r, out=r)
-        ln_c = np.log(product(b, spare))
+        product(b, spare, ln_c)
+        np.log(ln_c, out=ln_c)
         np.negative(ln_c, out=ln_c)
         np.log(ln_c, out=ln_c)
-        return r, ln_c, uniform(beta)
-
-    def _least(self, terms: np.ndarray, weights: np.ndarray) -> "Least":
-        """For every sample the smallest value among weighted terms in order."""
-        least = Least(self.samples)
-        once = weights == 1  # by far the most common: t = 0
-        for part, ln_w in ((terms[once], None), (terms[~once], np.log(weights[~once]).astype(np.float32))):
-            for at in range(0, len(part), TERMS_PER_BLOCK):
-                block = part[at:at + TERMS_PER_BLOCK]
-                r, ln_c, beta = self.numbers(block)
-                if ln_w is None:
-                    t = None
-                    beta *= r
-                    value = ln_c + beta
-                    value -= r
-                else:
-                    t = np.floor(ln_w[at:at + TERMS_PER_BLOCK] / r + beta)
-                    value = ln_c - r * (t - beta) - r
-                i = value.argmin(axis=1)  # of equal values the smallest term, as terms are in order
-                rows = np.arange(self.samples)
-                position = 0 if t is None else t[rows, i].astype(np.int64)
-                least.take(value[rows, i], block[i], position)
-        return least
+        return r, uniform(beta)
+
+    def values(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The value of each weighted term (row) and sample (column); the rows with
+        a weight other than 1, and their positions.  Weight 1, by far the most
+        common, has position 0."""
+        value = np.empty((len(terms), self.samples), dtype=np.float32)
+        heavy = np.flatnonzero(weights != 1)
+        ln_w = np.log(weights[heavy]).astype(np.float32)[:, None]
+        t = np.empty((len(heavy), self.samples), dtype=np.float32)
+        for at in range(0, len(terms), TERMS_PER_BLOCK):
+            ln_c = value[at:at + TERMS_PER_BLOCK]
+            r, beta = self.numbers(terms[at:at + TERMS_PER_BLOCK], ln_c)
+            a, b = np.searchsorted(heavy, [at, at + TERMS_PER_BLOCK])
+            if a < b:
+                some = heavy[a:b] - at
+                t[a:b] = np.floor(ln_w[a:b] / r[some] + beta[some])
+                others = ln_c[some] - r[some] * (t[a:b] - beta[some]) - r[some]
+            beta *= r
+            ln_c += beta
+            ln_c -= r
+            if a < b:
+                ln_c[some] = others
+        return value, heavy, t
 
     def of(self, text: str) -> np.ndarray:
         """Samples as 32-bit numbers; all zero for a text without words."""
-        return self.of_terms(weigh(text))
-
-    def of_terms(self, terms: "Terms") -> np.ndarray:
-        return self._least(*terms).names()
-
-    def of_both(self, a: "Terms", b: "Terms") -> tuple[np.ndarray, np.ndarray]:
-        """The samples of two texts; terms that both have with one weight are
-        worked out once."""
-        _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-        equal = a[1][in_a] == b[1][in_b]
-        in_a, in_b = in_a[equal], in_b[equal]
-        shared = self._least(a[0][in_a], a[1][in_a])
-        found = []
-        for (terms, weights), inside in ((a, in_a), (b, in_b)):
-            own = np.ones(len(terms), dtype=bool)
-            own[inside] = False
-            least = self._least(terms[own], weights[own])
-            least.take(shared.low, shared.term, shared.position)
-            found.append(least.names())
-        return found[0], found[1]
+        return self.of_each([weigh(text)])[0]
+
+    def of_each(self, texts: "list[Terms]") -> list[np.ndarray]:
+        """The samples of several texts; a weighted term that some of them share
+        is worked out once."""
+        if not texts:
+            return []
+        terms, weights = (np.concatenate(x) for x in zip(*texts))
+        order = np.argsort(terms, kind="stable")
+        terms, weights = terms[order], weights[order]
+        new = np.ones(len(terms), dtype=bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (weights[1:] != weights[:-1])
+        places = np.empty(len(terms), dtype=np.int64)
+        places[order] = np.cumsum(new) - 1
+        terms, weights = terms[new], weights[new]
+        # A text's terms ascend, and so do their places.
+        of_text = np.split(places, np.cumsum([len(t) for t, _ in texts])[:-1])
+        least = [Least(self.samples) for _ in texts]
+        for at in range(0, len(terms), TERMS_HELD):
+            part = terms[at:at + TERMS_HELD]
+            value, heavy, t = self.values(part, weights[at:at + TERMS_HELD])
+            place = np.full(len(part), -1)
+            place[heavy] = np.arange(len(heavy))
+            for one, own in zip(least, of_text):
+                a, b = np.searchsorted(own, [at, at + TERMS_HELD])
+                if a == b:
+                    continue
+                own = own[a:b] - at
+                found = value.take(own, axis=0, mode="clip")
+                low = found.min(axis=0)
+                i, sample = np.divmod(np.flatnonzero(found == low), self.samples)
+                first = np.empty(self.samples, dtype=np.int64)
+                first[sample[::-1]] = own[i[::-1]]  # of equal values the smallest term, as terms are in order
+                position, of_heavy = np.zeros(self.samples, dtype=np.int64), place[first]
+                some = np.flatnonzero(of_heavy >= 0)
+                if len(some):
+                    position[some] = t[of_heavy[some], some].astype(np.int64)
+                one.take(low, part[first], position)
+        return [one.names() for one in least]
 
 
 Terms = tuple[np.ndarray, np.ndarray]  # hashes in ascending order, and weights
 
 
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode().split()
+
+
 def weigh(text: str) -> Terms:
     """The terms of a text with their weights."""
-    return np.unique(shingles(text.lower().encode().split(), 2), return_counts=True)
+    return counted(shingles(words_of(text), 2))
+
+
+def counted(runs: np.ndarray) -> Terms:
+    """Terms with weights, from the hashes of all runs of a text."""
+    terms = np.sort(runs)
+    first = np.ones(len(terms), dtype=bool)
+    first[1:] = terms[1:] != terms[:-1]
+    first = np.flatnonzero(first)
+    return terms[first], np.diff(first, append=len(terms))
 
 
 class Least:
@@ -183,6 +225,73 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
+class Row:
+    """A row of a slice; ``extra`` rows are the end of theirs and give no result."""
+
+    def __init__(self, row_id: int | None, text: str, part: int, extra: bool):
+        self.row_id, self.text, self.part, self.extra = row_id, text, part, extra
+        self.words = words_of(text)
+        self.runs = shingles(self.words, 2)
+        self.terms = counted(self.runs)
+        self.changed: Terms | None = None  # of the edited text, once the next row is there
+        self.digest = ""
+        self.mine: np.ndarray | None = None
+
+    def edit(self, following: str) -> None:
+        """Digest and terms of the edited text; runs of words that end before the
+        edit are not hashed again."""
+        changed = edited(self.text, following)
+        self.digest = hashlib.sha256(changed.encode()).hexdigest()
+        cut = len(self.text) - len(self.text) // 4
+        gap = max(self.text.rfind(c, 0, cut) for c in " \t\n\v\f\r")
+        tail, kept = [], 0
+        if gap >= 0:
+            tail = words_of(changed[gap:])
+            kept = len(self.words) - len(words_of(self.text[gap:]))
+        if tail and kept > 1:
+            self.changed = counted(np.concatenate(
+                [self.runs[:kept - 1], shingles([self.words[kept - 1], *tail], 2)]))
+        else:
+            self.changed = weigh(changed)
+
+
+class Group:
+    """Neighbouring rows whose fingerprints are worked out together: an edited text
+    has its terms from its own text and from the next."""
+
+    def __init__(self, sample: Sampler):
+        self.sample = sample
+        self.rows: list[Row] = []
+        self.size = 0
+
+    def add(self, row_id: int | None, text: str, part: int, extra: bool) -> None:
+        row = Row(row_id, text, part, extra)
+        self.size += len(row.terms[0])
+        if self.rows and not self.rows[-1].extra and self.rows[-1].part == part:
+            before = self.rows[-1]
+            before.edit(text)
+            self.size += len(before.changed[0])
+        self.rows.append(row)
+
+    def closed(self) -> pa.RecordBatch:
+        """Results of all rows whose next is there; the last row waits for its own."""
+        alone = [r for r in self.rows if r.mine is None]
+        both = [r for r in self.rows if r.changed is not None]
+        found = iter(self.sample.of_each([r.terms for r in alone] + [r.changed for r in both]))
+        for row in alone:
+            row.mine = next(found)
+        out = []
+        for row, following in zip(self.rows, self.rows[1:]):
+            if row.changed is not None:
+                other = next(found)
+                out.append((row.row_id, len(row.text), row.digest, row.mine.tobytes().hex(),
+                            other.tobytes().hex(), likeness(row.mine, other),
+                            likeness(row.mine, following.mine)))
+        self.rows, self.size = self.rows[-1:], 0
+        columns = list(zip(*out)) or [[]] * len(NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], NAMES)
+
+
 def with_next(docs: DataFrame, slice_bytes: int) -> DataFrame:
     """Rows (row_id, text, slice, extra) in slices of the id order.
 
@@ -231,7 +340,7 @@ def slice_of(row_id: Column, bounds: list[int]) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES,
-                          slice_bytes: int = 8 << 20) -> DataFrame:
+                          slice_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next for every row.
 
@@ -244,33 +353,13 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES,
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = sampler(samples)
-        last = None  # (slice, id, text, terms) that waits for its next
-        ready = None  # a result that waits for the fingerprint of its next
+        group = Group(sampler(samples))
         for batch in batches:
-            out = []
-
-            def close(following: np.ndarray) -> None:
-                *found, mine, other = ready
-                out.append((*found, mine.tobytes().hex(), other.tobytes().hex(),
-                            likeness(mine, other), likeness(mine, following)))
-
-            for row_id, text, part, extra in zip(*(c.to_pylist() for c in batch.columns)):
-                terms = weigh(text)
-                if last is not None and last[0] == part:
-                    changed = edited(last[2], text)
-                    both = sample.of_both(last[3], weigh(changed))
-                    if ready is not None:
-                        close(both[0])
-                    ready = (last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), *both)
-                if extra:  # the end of a slice
-                    close(sample.of_terms(terms))
-                    last = ready = None
-                else:
-                    last = (part, row_id, text, terms)
-            columns = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, KINDS)], NAMES)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                group.add(*row)
+                if group.size >= TERMS_PER_GROUP:
+                    yield group.closed()
+        yield group.closed()
 
     rows = with_next(docs, slice_bytes).select("row_id", "text", "slice", "extra")
     return rows.mapInArrow(work, SCHEMA)
