@@ -5,10 +5,11 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tillstream.llm import common, fingerprints, jaccard_join
+from tillstream.llm import common, fingerprints, jaccard_join, tokens
 
 
 @pytest.mark.parametrize("shared", [0, 30_000, 60_000])
@@ -149,3 +150,18 @@ def test_fingerprints_work_out_shared_terms_once(monkeypatch):
     assert [r["fingerprint"] for r in found] == alone[:-1]
     assert [r["edited_fingerprint"] for r in found] == changed
     assert sum(worked) == len({tw for terms, weights in every for tw in zip(terms.tolist(), weights.tolist())})
+
+
+def test_pieces_that_differ_in_case_are_one():
+    """Some marks compose with small letters only, and the tokenizer composes first."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokens.load(path)
+    plain = "The the THE tHe, the, don't DON'T Ünder ünder ÜNDER İstanbul ΣΑΣ K K"
+    marks = "J̌ ǰ H̱ T̈he Y̊ W̊ Á İ the"
+    for texts in ([plain], [marks], [plain, marks, "", "The <|endoftext|> the", "x\x0bY"]):
+        encoder = tokens.PieceEncoder(path, spaces_kept=False)
+        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.each(texts)]
+        assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = tokens.PieceEncoder(path, spaces_kept=False)
+    list(encoder.each([plain]))
+    assert "the" in encoder.young and not {"The", "THE"} & set(encoder.young)

@@ -30,6 +30,8 @@ PIECES_SQL = ("row_id bigint, start bigint, length bigint, ids binary, doc_token
 SEQUENCES_PER_TASK = 1 << 36
 # Half of the pieces that a worker remembers.
 KEPT_PIECES = 300_000
+# Texts whose pieces are numbered together have about so many characters.
+SLICE_CHARS = 4 << 20
 
 Piece = tuple[int, int, int]  # document (place in the block), start, length
 
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
                         TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
         for batch in batches:
             row_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.slices(texts):
+            for a, b in tokens.slices(texts, SLICE_CHARS):
                 for row_id, ids in zip(row_ids[a:b], encoder.each(texts[a:b])):
                     packer.add(row_id, ids + closing)
                     if packer.size >= block_tokens:

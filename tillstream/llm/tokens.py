@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -69,6 +70,9 @@ class PieceEncoder:
         self.sep_id, self.sep = next(
             (i, t.content) for i, t in special.items() if t.content == "<|endoftext|>"
         )
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str(
+            string.ascii_uppercase) == string.ascii_lowercase
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith("Ġ") if spaces_kept else token.endswith("</w>")
@@ -152,9 +156,9 @@ class PieceEncoder:
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of texts without odd white space.  Their pieces are numbered by
         Arrow, so that each different piece of all texts is looked up once."""
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        split = pc.ascii_split_whitespace(self._lowered(pa.array(texts, pa.large_string())))
         coded = pc.dictionary_encode(split.flatten())
-        keys = coded.dictionary.to_pylist()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = [b"" if not k else self.young.get(k) for k in keys]
         missing = [k for k, v in zip(keys, values) if v is None]
         if missing:
@@ -173,6 +177,17 @@ class PieceEncoder:
         bounds = (4 * ends[split.offsets.to_numpy()].astype(np.int64)).tolist()
         return (raw[a:b] for a, b in zip(bounds, bounds[1:]))
 
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """A-Z lower-cased, where the tokenizer lower-cases them too, so that fewer
+        pieces differ.  It composes letters and marks first, and some marks compose
+        with small letters only: texts with marks (lead bytes CC, CD) stay."""
+        if not self.lowers:
+            return texts
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        if ((raw == 0xCC) | (raw == 0xCD)).any():
+            return texts
+        return pc.ascii_lower(texts)
+
     def _by_text(self, texts: list[str]) -> list:
         """Each piece is looked up once; what is not known yet is encoded for all
         texts together and put in its places.
