@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import decontamination, jaccard_join, quality, queries, suffix_dedup
-from tillstream.llm.common import as_row, remainder, row_columns, stored, table
+from tillstream.llm.common import as_row, quoted, remainder, row_columns, stored, table
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out empty, a text under 240 bytes as it was; columns may have any names and
     hold nulls, and an empty table gives no rows.
     """
+    # The text comes back cut, so the row that is carried leaves it out.
+    others = [quoted(c) for c in docs.columns if c != "text"] or ["text"]
     cut = suffix_dedup.remove_repeats(
-        docs.select(as_row(docs).alias("doc"), "text"), ["doc"], window=REPEAT_BYTES, as_text=True)
+        docs.select(as_row(docs.select(others)).alias("doc"), "text"), ["doc"],
+        window=REPEAT_BYTES, as_text=True)
     return cut.select(*row_columns(
         docs, "doc", text=F.col("kept"), n_chars=F.char_length("kept").cast("long")))
 

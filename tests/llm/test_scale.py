@@ -9,7 +9,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tillstream.llm import common, fingerprints, jaccard_join, tokens
+import corpus_pipeline
+from tillstream.llm import common, fingerprints, jaccard_join, suffix_dedup, tokens
 
 
 @pytest.mark.parametrize("shared", [0, 30_000, 60_000])
@@ -165,3 +166,43 @@ def test_pieces_that_differ_in_case_are_one():
     encoder = tokens.PieceEncoder(path, spaces_kept=False)
     list(encoder.each([plain]))
     assert "the" in encoder.young and not {"The", "THE"} & set(encoder.young)
+
+
+def test_fingerprints_are_made_by_the_worker_that_reads_the_texts(spark, monkeypatch):
+    """One Python worker a task: a second one beside it would double the memory."""
+    plans, write = [], suffix_dedup.stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 300)
+    draw = random.Random(11)
+    texts = [" ".join(draw.choices("abcdefgh", k=60)) for _ in range(20)]
+    texts += [texts[0][:70] + " end é", texts[1], None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
+    got = {r["i"]: (r["n_bytes"], bytes(r["kept"]).decode())
+           for r in suffix_dedup.remove_repeats(df, ["i"], window=50).collect()}
+    left = [t or "" for t in texts]
+    left[0], left[1], left[20], left[21] = texts[0][70:], "", texts[20][70:], ""
+    assert got == {i: (len((t or "").encode()), left[i]) for i, t in enumerate(texts)}
+    assert [p.count("MapInArrow") for p in plans] == [1]
+
+
+def test_the_pipeline_carries_a_text_once(spark, monkeypatch):
+    carried, remove = [], suffix_dedup.remove_repeats
+
+    def watched(docs, *args, **kwargs):
+        carried.append(docs.schema["doc"].dataType.names)
+        return remove(docs, *args, **kwargs)
+
+    monkeypatch.setattr(suffix_dedup, "remove_repeats", watched)
+    rows = [(1, "a b" * 100, 300, None), (2, "short", 5, "x"), (None, None, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `a.b` string")
+    found = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert found.columns == docs.columns and carried == [["doc_id", "n_chars", "a.b"]]
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        (1, "", 0, None), (2, "short", 5, "x"), (None, "", 0, "y")]
+    alone = corpus_pipeline.cut_repeats(spark, docs.select("text"), "")
+    assert sorted(r["text"] for r in alone.collect()) == ["", "", "short"]
