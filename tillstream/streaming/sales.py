@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.operators.sales import SALE_ORDER, age_years, sale_columns, ttl_condition
+from tillstream.streaming.packs import join_packed
+
+# What a sale row takes from either side.
+ORDER_SIDE = ["id", "order_status", "create_time", "user_id", "create_date"]
+DETAIL_SIDE = ["id", "sku_id", "order_price", "sku_name"]
 
 
 def join_streams(
@@ -17,6 +22,7 @@ def join_streams(
     lateness: str = "10 seconds",
     salts: int = 1,
     drop_copies: bool = True,
+    packs: int | None = None,
 ) -> DataFrame:
     """Pairs of order and detail that arrive within ``ttl``, in either order.
 
@@ -27,6 +33,10 @@ def join_streams(
 
     ``drop_copies`` removes orders and details that a feed delivered twice
     within the lateness, so a pair comes out once.
+
+    With ``packs`` the state has that many packs of rows instead of single rows
+    (``streaming.packs``), for feeds with many rows a batch: a batch writes the
+    packs of its keys anew, and a task holds a pack in memory.
     """
     left = orders.withWatermark(order_time, lateness)
     if drop_copies:
@@ -38,6 +48,11 @@ def join_streams(
     right = right.withColumn(
         "_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
     )
+    if packs:
+        met = join_packed(
+            left, right, *[[F.col(c), F.col("_salt")][:1 + (salts > 1)] for c in ("id", "order_id")],
+            order_time, detail_time, ORDER_SIDE, DETAIL_SIDE, ttl, packs)
+        return met.select(*sale_columns())
     match = (
         (F.col("o.id") == F.col("d.order_id"))
         & (F.col("o._salt") == F.col("d._salt"))
