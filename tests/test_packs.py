@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,25 @@ def tables(spark, place):
     return str(place)
 
 
+def test_a_replay_leaves_little_on_disk(spark, tmp_path, monkeypatch):
+    """Delivered files, shuffles and old versions of the state go while the slots go on."""
+    seen = []
+    take_back = stream.Replay.take_back
+
+    def watch(replay):
+        take_back(replay)
+        place = Path(replay.place.removeprefix("file:"))
+        seen.append((place, sum(1 for f in place.glob("feed-*/*.parquet"))))
+
+    monkeypatch.setattr(stream.Replay, "take_back", watch)
+    rows = stream.stream_sale_expiry(spark, tables(spark, tmp_path))
+    assert rows.count() == 480 * 2  # 40 and 80 days later; 120 and 160 are too late
+    assert [n for _, n in seen] == [0] * 5
+    versions = {int(f.stem.split("_")[0]) for f in (seen[0][0] / "checkpoint/state").glob("0/*/*.zip")}
+    assert 10 in versions and len(versions) <= 4  # of ten batches
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain", None) is None
+
+
 def test_what_the_replay_holds_at_its_end(spark, tmp_path):
     found = {r.side: (r.rows, r.oldest) for r in stream.stream_sale_state(spark, tables(spark, tmp_path)).collect()}
     mark = min(dt.date(1995, 1, 1) + dt.timedelta(days=479 * 5), dt.date(1995, 1, 1) + dt.timedelta(days=479 * 5 + 160))
